@@ -7,20 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetwise.llm import mixing
+from sheetwise.llm import mixing, quality, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = topk.scaled(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 64.0)
+    return topk.top_k(v.filter(F.col("id") % 20 == 0), v, 20)
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.mix(_table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_mix_sources": op5_mix_sources}
+    found = (op1_topk_search, op5_mix_sources, op6_quality_cascade)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_topk_search": topk.ORACLE, "op6_quality_cascade": quality.ORACLE}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetwise.llm import mixing, quality, topk
+from sheetwise.llm import mixing, quality, topk, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,11 @@ def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(v.filter(F.col("id") % 20 == 0), v, 20)
 
 
+def op4_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.round_trip(_table(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.mix(_table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -28,9 +33,9 @@ def op6_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_topk_search, op5_mix_sources, op6_quality_cascade)
+    found = (op1_topk_search, op4_warc_salvage, op5_mix_sources, op6_quality_cascade)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_search": topk.ORACLE, "op6_quality_cascade": quality.ORACLE}
+    return {"op1_topk_search": topk.ORACLE, "op4_warc_salvage": warc.ORACLE, "op6_quality_cascade": quality.ORACLE}

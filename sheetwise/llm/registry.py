@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetwise.llm import mixing, packing, quality, topk, toxicity, warc
+from sheetwise.llm import mixing, packing, pii, quality, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,11 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held, "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.train(pii.labelled_windows(docs)))
+
+
 def op4_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.round_trip(_table(spark, sf_dir, "pages"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -47,7 +52,7 @@ def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_topk_search, op2_toxicity, op4_warc_salvage, op5_mix_sources, op6_quality_cascade, op7_harmonic_packing)
+    found = (op1_topk_search, op2_toxicity, op3_pii, op4_warc_salvage, op5_mix_sources, op6_quality_cascade, op7_harmonic_packing)
     return {f.__name__: f for f in found}
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetwise.llm import mixing, packing, pii, quality, topk, toxicity, warc
+from sheetwise.llm import jaccard, mixing, packing, pii, quality, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,10 +51,14 @@ def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_topk_search, op2_toxicity, op3_pii, op4_warc_salvage, op5_mix_sources, op6_quality_cascade, op7_harmonic_packing)
+    found = (op1_topk_search, op2_toxicity, op3_pii, op4_warc_salvage, op5_mix_sources, op6_quality_cascade, op7_harmonic_packing, op10_ngram_jaccard)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_search": topk.ORACLE, "op4_warc_salvage": warc.ORACLE, "op6_quality_cascade": quality.ORACLE}
+    return {"op1_topk_search": topk.ORACLE, "op4_warc_salvage": warc.ORACLE, "op10_ngram_jaccard": jaccard.ORACLE, "op6_quality_cascade": quality.ORACLE}

@@ -60,3 +60,42 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], value: str,
     for c in same[1:]:
         cond = cond & c
     return df.join(sums, cond).withColumn(out, F.col("_in") + F.col("_base")).drop(b, "_in", "_base", "_kb", *(f"_k{i}" for i in range(len(keys))))
+
+
+#: Rows of a table that may be broadcast: 16 bytes a row, so 16 MB at most.
+BROADCAST_ROWS = 1_000_000
+
+
+def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Join with a materialised table of ids: broadcast if it is counted to be small, else left to shuffle."""
+    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        small = F.broadcast(small)
+    return big.join(small, on, how)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of finished stages that nothing refers to any more."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """edges (a, b) -> (v, label): for each node of an edge the smallest node it is connected to.
+
+    Minimum labels spread along edges and jump along labels until nothing changes; every round is written,
+    so a lost executor costs one round. Hot nodes only meet sums and joins that adaptive execution can split.
+    """
+    both = materialise(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "cc-edges")
+    labels = materialise(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("label")), "cc-labels")
+    for _ in range(rounds):
+        near = both.join(labels, both["b"] == labels["v"]).groupBy("a").agg(F.min("label").alias("m"))
+        step = labels.join(near, labels["v"] == near["a"], "left").select("v", "label", F.least("label", "m").alias("low"))
+        jump = labels.select(F.col("v").alias("low"), F.col("label").alias("far"))
+        new = materialise(step.join(jump, "low", "left").select("v", F.least("low", "far").alias("label"), F.col("label").alias("old")), "cc-labels")
+        changed = new.filter("label <> old").limit(1).count()
+        labels = new.select("v", "label")
+        if not changed:
+            break
+    return labels

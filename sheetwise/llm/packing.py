@@ -19,6 +19,8 @@ an empty table gives no pieces; other columns of the input are ignored.
 from __future__ import annotations
 
 import bisect
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -40,32 +42,82 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 class ChunkTokenizer:
-    """ids of texts as little-endian unsigned 32-bit numbers, by chunks that are remembered."""
+    """ids of texts as little-endian unsigned 32-bit numbers, by chunks that are remembered.
+
+    A chunk not met before is made up of runs of letters and runs of other characters where the tokenizer
+    splits there too: in Latin-1 texts without apostrophes, whose lower case and composition are plain.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.seen: dict[str, bytes] = {}
+        self.seen: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {}
+
+    def _encode(self, new: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)] if new else []
+
+    def _encode_runs(self, new: list[str]) -> list[bytes]:
+        """Runs of lower-case letters are one pre-token each, so the tokenizer's model takes their bytes' characters directly."""
+        model = self.tokenizer.model.tokenize
+        odd = [r for r in new if not r.isalpha()]
+        rest = dict(zip(odd, self._encode(odd), strict=True))
+        out = []
+        for r in new:
+            if r in rest:
+                out.append(rest[r])
+            else:
+                ids = [x.id for x in model(r if r.isascii() else "".join(map(_BYTE_CHARS.__getitem__, r.encode())))]
+                out.append(struct.pack(f"<{len(ids)}I", *ids))
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split, missing = [], set()
+        split, plain, whole = [], set(), set()
+        if len(self.seen) > CACHE:
+            self.seen = {"": b""}
         for t in texts:
-            # Lower case is the tokenizer's own first step; done here, fewer chunks differ.
-            chunks = (t.lower() if t.isascii() and "<|" not in t else t).translate(_TO_SPACE).split(" ")
+            simple = _is_latin1(t) and "<|" not in t
+            # Lower case is the tokenizer's own step; done here, fewer chunks differ.
+            t = t.lower() if simple else t
+            chunks = t.split() if simple and not any(map(t.__contains__, _ODD_SPACE)) else t.translate(_TO_SPACE).split(" ")
             split.append(chunks)
-            missing.update(c for c in chunks if c not in self.seen)
-        new = list(missing)
-        got = self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else []
-        fresh = {c: np.array(e.ids, "<u4").tobytes() for c, e in zip(new, got, strict=True)}
-        if len(self.seen) + len(fresh) <= CACHE:
-            self.seen.update(fresh)
-            find = self.seen.__getitem__
-        else:
-            find = lambda c: fresh[c] if c in fresh else self.seen[c]
+            (plain if simple else whole).update(c for c in chunks if c not in self.seen)
+        if len(self.parts) > CACHE:
+            self.parts.clear()
+        whole.update(c for c in plain if "'" in c)
+        runs = {c: _RUN.findall(c) for c in plain if "'" not in c}
+        new = list({r for rs in runs.values() for r in rs if r not in self.parts})
+        self.parts.update(zip(new, self._encode_runs(new), strict=True))
+        for c, rs in runs.items():
+            self.seen[c] = b"".join([self.parts[r] for r in rs])
+        new = list(whole)
+        self.seen.update(zip(new, self._encode(new), strict=True))
+        find = self.seen.__getitem__
         return [b"".join(map(find, chunks)) for chunks in split]
 
 
+def _is_latin1(t: str) -> bool:
+    if t.isascii():
+        return True
+    try:
+        t.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+_RUN = re.compile(r"[^\W\d_]+|[\W\d_]+")
+def _byte_chars() -> list[str]:
+    """The character of each byte in byte-level vocabularies: itself if printable in Latin-1, else the next from 256 on."""
+    own = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174}
+    other = iter(range(256, 512))
+    return [chr(b if b in own else next(other)) for b in range(256)]
+
+
+_BYTE_CHARS = _byte_chars()
+#: White space of Python's split in Latin-1 that is not ASCII white space.
+_ODD_SPACE = "\x1c\x1d\x1e\x1f\x85\xa0"
 _TO_SPACE = str.maketrans("\t\n\x0b\x0c\r", "     ")
 _TOKENIZERS: dict[str, ChunkTokenizer] = {}
 

@@ -11,7 +11,8 @@ of a smaller doc_id. The result is exact: strings are compared by their bytes.
 3. Runs. Neighbouring starts with the same shared designated anchor form a run; runs go to the shard of
    their anchor's hash, equal runs of a chunk once with all their places. Equal strings meet in one shard.
    Runs of a very common anchor are cut into single strings that are dealt by their own bytes.
-4. Shards. A shard is laid out in buffers of bounded size. Each gets a suffix array by Larsson-Sadakane
+4. Shards. Equal runs count once; a run whose anchor no other run has is settled. The others are laid out
+   in buffers of bounded size. Each gets a suffix array by Larsson-Sadakane
    refinement (ranks of the first 8 bytes, doubled until `width` bytes are told apart; only groups that
    still tie are sorted again) and common prefixes by Kasai's method, run in lockstep over strips of the
    text. Groups of prefixes of `width` bytes or more are equal strings. A shard of several buffers merges
@@ -339,8 +340,65 @@ def _strings(text: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, width)[at]).view(f"S{width}").ravel() if len(at) else np.empty(0, f"S{width}")
 
 
+def _positions(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """at[i], at[i] + 1, ... at[i] + n[i] - 1 for each i, end to end."""
+    return np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def _same_runs(text: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each run the first run of the same bytes; equal hashes are confirmed byte by byte."""
+    marks = bytehash.spans(bytehash.prefix(text), at, at + size) if len(at) else np.empty(0, np.uint64)
+    _, first, which = np.unique(np.stack([marks, size.astype(np.uint64)], 1), axis=0, return_index=True, return_inverse=True)
+    first = first[which.ravel()]
+    out = np.arange(len(at))
+    twice = np.flatnonzero(first != out)
+    for lo in range(0, len(twice), 20_000):
+        rows = twice[lo : lo + 20_000]
+        n = size[rows]
+        equal = text[_positions(at[rows], n)] == text[_positions(at[first[rows]], n)]
+        same = np.logical_and.reduceat(equal, np.cumsum(n) - n)
+        out[rows[same]] = first[rows[same]]
+    return out
+
+
+def _smallest_by_string(text: np.ndarray, at: np.ndarray, starts: np.ndarray, least: np.ndarray, width: int) -> np.ndarray:
+    """For every string of every run the smallest document of all runs that hold it, end to end. Runs are laid out in
+    buffers of bounded size, each with its suffix array; buffers are merged by binary search."""
+    size = starts + width - 1
+    cuts, held = [0], 0
+    for i, n in enumerate(size.tolist()):
+        if held and held + n > BUFFER_BYTES:
+            cuts.append(i)
+            held = 0
+        held += n
+    cuts.append(len(size))
+    made = []
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        if hi > lo:
+            n = size[lo:hi]
+            own = text[_positions(at[lo:hi], n)]
+            made.append((*_distinct(own, np.cumsum(n) - n, starts[lo:hi], least[lo:hi], width), own))
+    if len(made) > 1:
+        ordered = []
+        for _, _, example, own in made:
+            s = _strings(own, example, width)
+            order = np.argsort(s)
+            ordered.append((s[order], order))
+        alone = [m[1].copy() for m in made]
+        for x, (sx, ox) in enumerate(ordered):
+            for y, (sy, oy) in enumerate(ordered):
+                if x != y and len(sy):
+                    near = np.minimum(np.searchsorted(sy, sx), len(sy) - 1)
+                    hit = sy[near] == sx
+                    made[x][1][ox[hit]] = np.minimum(made[x][1][ox[hit]], alone[y][oy[near[hit]]])
+    return np.concatenate([m[1][m[0]] for m in made]) if made else np.empty(0, np.int64)
+
+
 def shard_intervals(payloads: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, lo, hi): intervals of documents covered by strings that a smaller document of the shard has too."""
+    """(doc, lo, hi): intervals of documents covered by strings that a smaller document of the shard has too.
+
+    Equal runs count once. A run whose anchor no other run of the shard has needs no suffix array: its
+    strings are in its own documents alone. The other runs, at the edges of what is shared, get one."""
     tables, places, texts = [], [], []
     for p in payloads:
         m = int(np.frombuffer(p, "<i8", 1)[0])
@@ -350,56 +408,38 @@ def shard_intervals(payloads: list[bytes], width: int) -> tuple[np.ndarray, np.n
         tables.append(t)
         places.append(np.frombuffer(p, PLACE, k, at))
         texts.append(np.frombuffer(p, np.uint8, -1, at + k * PLACE.itemsize))
-    # Buffers of whole payloads; a run's strings all lie in its own buffer.
-    buffers, size = [[]], 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > BUFFER_BYTES:
-            buffers.append([])
-            size = 0
-        buffers[-1].append(i)
-        size += len(t)
-    made = []
-    for part in buffers:
-        base = np.cumsum([0, *(len(texts[i]) for i in part)])
-        text = np.concatenate([texts[i] for i in part])
-        table = np.concatenate([tables[i] for i in part])
-        run_at = np.concatenate([tables[i]["at"].astype(np.int64) + b for i, b in zip(part, base[:-1], strict=True)])
-        starts, many = table["starts"].astype(np.int64), table["places"].astype(np.int64)
-        place = np.concatenate([places[i] for i in part])
-        least = np.minimum.reduceat(place["doc"], np.concatenate([[0], np.cumsum(many)[:-1]]))
-        of, smallest, example = _distinct(text, run_at, starts, least, width)
-        made.append([starts, many, place, of, smallest, text, example])
-    # Merge buffers: binary search of each one's distinct strings in every other's.
-    if len(made) > 1:
-        ordered = []
-        for m in made:
-            s = _strings(m[5], m[6], width)
-            order = np.argsort(s)
-            ordered.append((s[order], order))
-        own = [m[4].copy() for m in made]
-        for x, (sx, ox) in enumerate(ordered):
-            for y, (sy, oy) in enumerate(ordered):
-                if x != y and len(sy):
-                    at = np.minimum(np.searchsorted(sy, sx), len(sy) - 1)
-                    hit = sy[at] == sx
-                    made[x][4][ox[hit]] = np.minimum(made[x][4][ox[hit]], own[y][oy[at[hit]]])
+    base = np.cumsum([0, *map(len, texts)])
+    run_at = np.concatenate([t["at"].astype(np.int64) + b for t, b in zip(tables, base[:-1], strict=True)])
+    table, place, text = np.concatenate(tables), np.concatenate(places), np.concatenate(texts)
+    del tables, places, texts
+    starts, many = table["starts"].astype(np.int64), table["places"].astype(np.int64)
+    least = np.minimum.reduceat(place["doc"], np.cumsum(many) - many)
+    kept, which = np.unique(_same_runs(text, run_at, starts + width - 1), return_inverse=True)
+    smallest = np.full(len(kept), np.iinfo(np.int64).max)
+    np.minimum.at(smallest, which, least)
+    _, group, size = np.unique(table["hash"][kept], return_inverse=True, return_counts=True)
+    mixed = np.flatnonzero(size[group] > 1)
+    own = starts[kept]
+    low = np.repeat(smallest, own)  # of each string of each kept run
+    first = np.cumsum(own) - own
+    if len(mixed):
+        low[_positions(first[mixed], own[mixed])] = _smallest_by_string(text, run_at[kept[mixed]], own[mixed], smallest[mixed], width)
+    # Every place of every run: its strings whose smallest document is smaller than the place's.
+    run = np.repeat(np.arange(len(starts)), many)
     docs, los, his = [], [], []
-    for starts, many, place, of, smallest, _, _ in made:
-        low = smallest[of]  # smallest document of each string of each run
-        ends = np.cumsum(starts)
-        # Every place of every run: its strings whose smallest document is smaller than the place's.
-        run = np.repeat(np.arange(len(starts)), many)
-        n = starts[run]
-        at = np.repeat((ends - starts)[run] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        doc, start = np.repeat(place["doc"], n), np.repeat(place["start"].astype(np.int64), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        hit = low[at] < doc
+    for a in range(0, len(run), 200_000):
+        r, p = run[a : a + 200_000], place[a : a + 200_000]
+        n = starts[r]
+        doc = np.repeat(p["doc"], n)
+        start = _positions(p["start"].astype(np.int64), n)
+        hit = low[_positions(first[which[r]], n)] < doc
         doc, start = doc[hit], start[hit]
         new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)]) if len(doc) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(doc)) - 1
-        docs.append(doc[first])
-        los.append(start[first])
-        his.append(start[last] + width if len(first) else start[first])
+        head = np.flatnonzero(new)
+        tail = np.append(head[1:], len(doc)) - 1
+        docs.append(doc[head])
+        los.append(start[head])
+        his.append(start[tail] + width if len(head) else start[head])
     return np.concatenate(docs), np.concatenate(los), np.concatenate(his)
 
 

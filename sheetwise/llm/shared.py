@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -66,9 +67,14 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], value: str,
 BROADCAST_ROWS = 1_000_000
 
 
+def is_small(ids: DataFrame) -> bool:
+    """Whether a materialised table of ids is counted to be within BROADCAST_ROWS."""
+    return ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+
+
 def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str) -> DataFrame:
     """Join with a materialised table of ids: broadcast if it is counted to be small, else left to shuffle."""
-    if small.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if is_small(small):
         small = F.broadcast(small)
     return big.join(small, on, how)
 
@@ -79,6 +85,7 @@ def release(spark: SparkSession) -> None:
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)  # the cleaner runs beside
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

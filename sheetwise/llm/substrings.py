@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheetwise.llm import bytehash
-from sheetwise.llm.shared import join_small, materialise, release
+from sheetwise.llm.shared import is_small, join_small, materialise, release
 
 WIDTH = 50
 GRAM = 20
@@ -463,12 +463,15 @@ def covered(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width:
     packed = own.mapInArrow(lambda b: _anchors(b, bits, width), "key long, chunk long, payload binary")
     shared = packed.groupBy("key").applyInPandas(_shared, "chunk long, kind long, payload binary")
     shared = materialise(shared.groupBy("chunk").applyInPandas(_by_document, "doc_id long, light binary, heavy binary"), "substr-shared")
+    del packed
     release(spark)
     # Rows of one doc_id: each row is looked into with the hashes of all of them.
     shared = shared.groupBy("doc_id").agg(F.array_join(F.collect_list(F.hex("light")), "").alias("l"), F.array_join(F.collect_list(F.hex("heavy")), "").alias("h")).select("doc_id", F.unhex("l").alias("light"), F.unhex("h").alias("heavy"))
+    own = join_small(own, materialise(shared.select("doc_id"), "substr-ids"), ["doc_id"], "left_semi")
     runs = own.join(shared, "doc_id").select("doc_id", "text", "light", "heavy").mapInArrow(lambda b: _runs(b, bits, shards, width), "shard long, payload binary")
     found = runs.groupBy("shard").applyInPandas(lambda f: _shard(f, width), "doc_id long, lo long, hi long")
     intervals = materialise(found, "substr-intervals")
+    del runs, found, own, shared
     release(spark)
     return d, copies, intervals
 
@@ -498,10 +501,16 @@ def _with_spans(docs: DataFrame, **options) -> DataFrame:
     """doc_id, text (bytes), copy (whole text goes), spans."""
     width = options.get("width", WIDTH)
     d, copies, intervals = covered(docs, **options)
-    per = intervals.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    per = materialise(intervals.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "substr-spans")
     d = d.withColumn("mark", F.when(F.length("text") >= width, F.md5("text")))
     d = join_small(d, copies.withColumn("copy", F.lit(True)), ["doc_id", "mark"], "left")
-    return d.join(per, "doc_id", "left").select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "spans")
+    ids = per.select("doc_id")
+    if is_small(ids):  # texts that lose nothing need no shuffle
+        ids = F.broadcast(ids)
+        found = d.join(ids, "doc_id", "left_semi").join(per, "doc_id").unionByName(d.join(ids, "doc_id", "left_anti"), allowMissingColumns=True)
+    else:
+        found = d.join(per, "doc_id", "left")
+    return found.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "spans")
 
 
 def removal(docs: DataFrame, **options) -> DataFrame:

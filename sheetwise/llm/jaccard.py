@@ -248,6 +248,7 @@ def links(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent:
     # n - size(t) unshared tokens come first in order; the rest of the prefix, extended by one:
     length = (F.size("t") - least + 2).cast("int")
     shared = materialise(shared.select("rep", "digest", "n", F.transform("t", lambda x: x["token"]).alias("tokens"), F.slice("t", 1, length).alias("prefix")), "jaccard-shared")
+    del texts, found, exploded, often
     release(spark)
 
     rare = shared.select("rep", "n", F.explode(F.filter("prefix", lambda x: x["df"] <= RARE)).alias("x")).select("rep", "n", F.col("x.token").alias("token"))
@@ -260,6 +261,7 @@ def links(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent:
     both = pairs.join(left, "a").join(other, "b")
     inter = F.size(F.array_intersect("ta", "tb"))
     found_rare = materialise(both.filter(_linked(inter, F.col("na"), F.col("nb"), percent)).select("a", "b").distinct(), "jaccard-links")
+    del pairs, both
     release(spark)
 
     often = shared.select("rep", "n", "prefix", F.filter("prefix", lambda x: x["df"] > RARE).alias("f"))

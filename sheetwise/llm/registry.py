@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sheetwise.llm import jaccard, mixing, packing, pii, quality, substrings, topk, toxicity, warc
+from sheetwise.llm import jaccard, mixing, packing, pii, quality, substrings, tokencount, topk, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,12 +55,18 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal(_table(spark, sf_dir, "documents"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokencount.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_topk_search, op2_toxicity, op3_pii, op4_warc_salvage, op5_mix_sources, op6_quality_cascade, op7_harmonic_packing, op8_suffix_dedup, op10_ngram_jaccard)
+    found = (op1_topk_search, op2_toxicity, op3_pii, op4_warc_salvage, op5_mix_sources, op6_quality_cascade, op7_harmonic_packing, op8_suffix_dedup, op9_token_counts, op10_ngram_jaccard)
     return {f.__name__: f for f in found}
 
 

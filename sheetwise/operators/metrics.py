@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sheetwise.functions.geom import wilson
+from sheetwise.functions.geom import Box, iou, wilson
+from sheetwise.operators import graph, spatial
 
 #: Rates of fewer trials are withheld. Fixed value.
 LEAST_TRIALS = 5
@@ -24,3 +25,67 @@ def edge_scores(truth: DataFrame, predicted: DataFrame) -> DataFrame:
     hits = truth.distinct().join(predicted.distinct(), ["lo", "hi"]).agg(F.count("*").alias("hits"))
     n, m = truth.distinct().agg(F.count("*").alias("n_truth")), predicted.distinct().agg(F.count("*").alias("n_predicted"))
     return hits.withColumn("_k", F.lit(1)).join(n.withColumn("_k", F.lit(1)), "_k").join(m.withColumn("_k", F.lit(1)), "_k").drop("_k")
+
+
+def match_boxes(truth: DataFrame, predicted: DataFrame, threshold: float = 0.3, cell: float = 64.0) -> DataFrame:
+    """Greedy one-to-one matching on overlap: page, truth, pred. truth and predicted: page, id, x0..y1. Ids order ties."""
+    t = truth.select("page", F.col("id").alias("truth"), *(F.col(c).alias(f"t{c}") for c in Box._fields))
+    p = predicted.select("page", F.col("id").alias("pred"), *(F.col(c).alias(f"p{c}") for c in Box._fields))
+    tb, pb = (Box(*(F.col(f"{k}{c}") for c in Box._fields)) for k in "tp")
+    overlap = iou(tb, pb)
+    pairs = spatial.grid_join(t, p, tb, pb, ["page"], cell, overlap >= threshold).withColumn("cost", -overlap)
+    return graph.greedy_match(pairs, ["page"], "truth", "pred", ["cost"]).select("page", "truth", "pred")
+
+
+def threshold_sweep(truth: DataFrame, predicted: DataFrame, thresholds: tuple[float, ...] = (0.1, 0.3, 0.5, 0.7)) -> DataFrame:
+    """threshold, hits: number of matched pairs at each threshold."""
+    out = None
+    for t in thresholds:
+        n = match_boxes(truth, predicted, t).agg(F.count("*").alias("hits")).withColumn("threshold", F.lit(t))
+        out = n if out is None else out.unionByName(n)
+    return out.select("threshold", "hits")
+
+
+def translated_edges(edges: DataFrame, mapping: DataFrame) -> DataFrame:
+    """True edges (page, source, target) whose two ends are matched, as unordered pairs of predicted nodes."""
+    m = mapping.select("page", F.col("truth").alias("source"), F.col("pred").alias("_a"))
+    k = mapping.select("page", F.col("truth").alias("target"), F.col("pred").alias("_b"))
+    both = edges.join(m, ["page", "source"]).join(k, ["page", "target"])
+    return both.select("page", F.least("_a", "_b").alias("lo"), F.greatest("_a", "_b").alias("hi")).distinct()
+
+
+def text_scores(labels: DataFrame, reads: DataFrame, gate: float) -> DataFrame:
+    """correct, n_reads, n_labels: labels and reads (page, id, text, x0..y1) matched by nearest centres within gate, one to
+    one; correct if the texts agree but for case and spaces."""
+    cx, cy = Box.of().centre
+    t = labels.select("page", F.col("id").alias("label"), F.col("text").alias("want"), cx.alias("tx"), cy.alias("ty"))
+    r = reads.select("page", F.col("id").alias("read"), F.col("text").alias("got"), cx.alias("rx"), cy.alias("ry"))
+    at, bt = (F.col("tx"), F.col("ty")), (F.col("rx"), F.col("ry"))
+    pairs = spatial.distance_join(t, r, at, bt, ["page"], gate).withColumn("d", F.hypot(at[0] - bt[0], at[1] - bt[1]))
+    plain = lambda c: F.trim(F.replace(F.upper(F.coalesce(c, F.lit(""))), F.lit(" "), F.lit("")))
+    hit = graph.greedy_match(pairs, ["page"], "label", "read", ["d"]).join(pairs.select("page", "label", "read", "want", "got"), ["page", "label", "read"])
+    hits = hit.agg(F.count_if(plain(F.col("want")) == plain(F.col("got"))).alias("correct"))
+    return _beside(hits, reads.agg(F.count("*").alias("n_reads")), labels.agg(F.count("*").alias("n_labels")))
+
+
+def _beside(*one_row: DataFrame) -> DataFrame:
+    """One-row tables side by side."""
+    out = one_row[0].withColumn("_k", F.lit(1))
+    for d in one_row[1:]:
+        out = out.join(d.withColumn("_k", F.lit(1)), "_k")
+    return out.drop("_k")
+
+
+def attachment_scores(truth: DataFrame, mapping: DataFrame, predicted_tags: DataFrame) -> DataFrame:
+    """hits, n_tagged, n_matched, unmatched: over matched symbols, those whose node carries any tag and the right one;
+    and tagged nodes that no symbol matches. truth: page, truth, canonical; predicted_tags: page, pred, tag."""
+    m = mapping.join(truth, ["page", "truth"]).join(predicted_tags, ["page", "pred"], "left")
+    right = F.col("canonical").isNotNull() & (F.col("tag") == F.col("canonical"))
+    s = m.agg(F.count_if(right).alias("hits"), F.count("tag").alias("n_tagged"), F.count("*").alias("n_matched"))
+    return _beside(s, predicted_tags.join(mapping, ["page", "pred"], "left_anti").agg(F.count("*").alias("unmatched")))
+
+
+def line_claims(truth: DataFrame, predicted: DataFrame) -> DataFrame:
+    """hits, n_truth, n_predicted over distinct claims (lo, hi, line)."""
+    t, p = truth.select("lo", "hi", "line").distinct(), predicted.select("lo", "hi", "line").distinct()
+    return _beside(t.join(p, ["lo", "hi", "line"]).agg(F.count("*").alias("hits")), t.agg(F.count("*").alias("n_truth")), p.agg(F.count("*").alias("n_predicted")))

@@ -10,7 +10,7 @@ from sheetwise.functions import tags
 # Characters that annotations are made of, and letters and digits that are taken for each other.
 ALLOWED = r"""^[A-Z0-9 \-/"'.,()&*#°]+$"""
 IDENTIFIER = r'^[A-Z0-9\-/".]+$'
-CONFUSIONS = {"0": "OD", "O": "0", "D": "0", "1": "IL", "I": "1", "L": "1", "8": "B", "B": "8", "4": "A", "A": "4", "5": "S", "S": "5", "2": "Z", "Z": "2"}
+CONFUSIONS = {"0": "OD", "O": "0", "D": "0", "I": "1", "1": "I", "8": "B", "B": "8", "4": "A", "A": "4", "5": "S", "S": "5", "2": "Z", "Z": "2"}
 
 
 def _stripped(text: Column) -> Column:

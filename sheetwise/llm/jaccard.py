@@ -46,7 +46,7 @@ RARE = 16
 COMBINE = 128
 BLOCK = 512
 PIVOTS = 8
-CHUNK_TOKENS = 4_000_000
+CHUNK_TOKENS = 1_000_000
 CHUNK_DOCS = 60_000
 BUCKET_TOKENS = 1_000_000
 PIECE_BYTES = 1 << 21

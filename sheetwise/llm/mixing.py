@@ -155,8 +155,9 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     own = own.withColumn("_nth", rank(F.col("source").asc_nulls_last(), F.xxhash64("text")))
     # A word with the white space after it; white space before the first word is dropped.
     units = F.split(F.col("text"), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])", -1)
-    both = own.join(copies, ["doc_id", "_size", "_nth"]).withColumn("_units", units)
+    both = own.join(copies, ["doc_id", "_size", "_nth"])
     lead = F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
-    text = F.array_join(F.flatten(F.transform("_runs", lambda r: F.slice("_units", (r["piece_start"] + 1 + lead).cast("int"), r["piece_len"].cast("int")))), "")
+    cut = lambda u: F.array_join(F.flatten(F.transform("_runs", lambda r: F.slice(u, (r["piece_start"] + 1 + lead).cast("int"), r["piece_len"].cast("int")))), "")
+    text = F.get(F.transform(F.array(units), cut), F.lit(0))  # a let binding: the text is split once, not once a run
     both = both.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
     return both.select(*docs.columns)

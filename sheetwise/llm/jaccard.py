@@ -22,7 +22,7 @@ their Jaccard similarity reaches the threshold; the result is one row per docume
 Hashes stand for shingles: two different shingles are taken for equal with probability 2**-64.
 Defined results: null, empty and blank texts have no tokens, n_shingles 0 and are their own component;
 a text of fewer words than a shingle has its whole sequence as one; rows of one doc_id are one document
-with any of their links, and each row is returned; an empty table gives an empty result; other columns of
+with any of their links, and each row is returned; rows without a doc_id link with nothing and have no component; an empty table gives an empty result; other columns of
 the input are ignored.
 """
 
@@ -228,7 +228,7 @@ def links(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent:
     """(documents, classes, links): doc_id, n per row; doc_id, rep for documents that may link; verified links a, b between representatives."""
     spark = docs.sparkSession
     d = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
-    rows = materialise(sieve(d), "jaccard-rows")
+    rows = materialise(sieve(d.filter("doc_id is not null")), "jaccard-rows")
     release(spark)
     able = rows.filter((F.col("n") > 0) & (F.col("shared") >= _least(F.col("n"), percent)))
     firsts = able.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
@@ -321,7 +321,10 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     else:
         known = known.select("doc_id", "c")
     known = known.select(F.col("doc_id").alias("_d"), "c")
-    return rows.join(known, rows["doc_id"] == known["_d"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
+    out = rows.join(known, rows["doc_id"] == known["_d"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
+    nameless = docs.filter(F.col(key).isNull()).select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
+    counted = nameless.mapInArrow(_sets, "doc_id long, digest binary, tokens array<bigint>")
+    return out.unionByName(counted.select("doc_id", F.size("tokens").cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id")))
 
 
 def distinct_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -9,7 +9,7 @@ few, so that totals meet the targets while shards keep their multinomial counts.
 blocks by (source, block).
 
 Defined results: a null text has no words; a null source is a source of its own, last in order; sources
-of no words have target 0 and give nothing; an empty table gives an empty result; repeated rows are
+of no words have target 0 and give nothing; a null doc_id stays null; an empty table gives an empty result; repeated rows are
 documents of their own; other columns of the input are ignored.
 """
 
@@ -136,8 +136,8 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
 def taken(m: Mixture) -> DataFrame:
     """doc_id, source, size, source_size, target, taken: the words that the mixture takes of each document, repeats counted."""
     times = m.slots.groupBy("source_id", "block").agg(F.count("*").alias("times"))
-    got = m.pieces.join(times, ["source_id", "block"]).groupBy("doc_id", "source_id", "start", "size").agg(F.sum(F.col("piece_len") * F.col("times")).alias("taken"))
-    out = m.docs.join(got, ["doc_id", "source_id", "start", "size"], "left")
+    got = m.pieces.join(times, ["source_id", "block"]).groupBy("source_id", "start", "size").agg(F.sum(F.col("piece_len") * F.col("times")).alias("taken"))
+    out = m.docs.join(got, ["source_id", "start", "size"], "left")  # a start names one document that has words
     return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
@@ -145,18 +145,19 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixture as documents: for each document and epoch one row whose text is the words taken in that
     epoch, in order and with their white space. n_chars is the new text's length; other columns stay."""
     m = mix(docs, **options)
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     runs = m.pieces.join(m.slots.select("source_id", "block", "epoch"), ["source_id", "block"])
-    copies = runs.groupBy("doc_id", "source_id", "size", "start", "epoch").agg(F.array_sort(F.collect_list(F.struct("piece_start", "piece_len"))).alias("_runs"))
+    copies = runs.groupBy("source_id", "size", "start", "epoch").agg(F.array_sort(F.collect_list(F.struct("piece_start", "piece_len"))).alias("_runs"))
     # Rows of one doc_id and size stand in for each other: number them alike on both sides.
-    rank = lambda *by: F.row_number().over(Window.partitionBy("doc_id", "_size").orderBy(*by))
-    rows = m.docs.filter(F.col("size") > 0).select("doc_id", F.col("size").alias("_size"), "source_id", "start").withColumn("_nth", rank("source_id", "start"))
-    copies = copies.withColumnRenamed("size", "_size").join(rows, ["doc_id", "_size", "source_id", "start"]).select("doc_id", "_size", "_nth", "_runs")
-    own = docs.withColumn("_size", F.size(words(F.col("text"))).cast("long")).filter(F.col("_size") > 0)
+    rank = lambda *by: F.row_number().over(Window.partitionBy("_key", "_size").orderBy(*by))
+    rows = m.docs.filter(F.col("size") > 0).select(name.alias("_key"), F.col("size").alias("_size"), "source_id", "start").withColumn("_nth", rank("source_id", "start"))
+    copies = copies.withColumnRenamed("size", "_size").join(rows, ["_size", "source_id", "start"]).select("_key", "_size", "_nth", "_runs")
+    own = docs.withColumn("_key", name).withColumn("_size", F.size(words(F.col("text"))).cast("long")).filter(F.col("_size") > 0)
     own = own.withColumn("_nth", rank(F.col("source").asc_nulls_last(), F.xxhash64("text")))
     # A word with the white space after it; white space before the first word is dropped.
     units = F.split(F.col("text"), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])", -1)
-    both = own.join(copies, ["doc_id", "_size", "_nth"])
-    lead = F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
+    both = own.join(copies, ["_key", "_size", "_nth"])
+    lead = F.when(F.substring("text", 1, 1).isin(*" \t\n\x0b\x0c\r"), 1).otherwise(0)
     cut = lambda u: F.array_join(F.flatten(F.transform("_runs", lambda r: F.slice(u, (r["piece_start"] + 1 + lead).cast("int"), r["piece_len"].cast("int")))), "")
     text = F.get(F.transform(F.array(units), cut), F.lit(0))  # a let binding: the text is split once, not once a run
     both = both.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))

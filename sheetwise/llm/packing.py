@@ -12,7 +12,7 @@ Ids are those of the tokenizer over the whole text, with `end_id` after each doc
 ASCII white space is tokenised once and looked up afterwards: the tokenizer drops white space and lets
 no token cross it, so a text's ids are its chunks' ids in order.
 
-Defined results: a null or empty text is a document of one id (`end_id`); repeated rows are packed each;
+Defined results: a null or empty text is a document of one id (`end_id`); repeated rows are packed each; a null doc_id stays null;
 an empty table gives no pieces; other columns of the input are ignored.
 """
 
@@ -38,7 +38,7 @@ CLASSES = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 18, 20, 24, 28
 WASTE = 16  # a piece may leave so small a part of its share unused
 SMALL = 64  # remainders below are not cut further
 CACHE = 400_000  # chunks that a worker remembers
-PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, cls int, pid long, nth long, sequence_id long, offset long"
+PIECE = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, ids binary, cls int, pid long, nth long, sequence_id long, offset long"
 
 
 class ChunkTokenizer:
@@ -192,7 +192,8 @@ def _best_fit(f: pd.DataFrame, capacity: int) -> pd.DataFrame:
 def pack(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", end_id: int = 1, capacity: int = CAPACITY, want_ids: bool = False) -> DataFrame:
     """Pieces of all documents with their place in a sequence: doc_id, start, length, ids_crc32, doc_tokens,
     sequence_id, offset, and the ids themselves where want_ids is set."""
-    d = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # As strings, ids with nulls among them do not become floats on their way through pandas.
+    d = docs.select(F.col(key).cast("long").cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     filled = materialise(d.mapInPandas(lambda frames: _fill(frames, path, end_id, capacity, want_ids), PIECE), "pack-pieces")
     rest = filled.filter(F.col("sequence_id").isNull()).drop("sequence_id", "offset")
     had = rest.groupBy("cls", "pid").agg(F.count("*").alias("_n"))
@@ -206,4 +207,4 @@ def pack(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text",
     names = [c.split()[0] for c in PIECE.split(", ")]
     last = rest.filter("NOT _whole").select(*names[:-2]).groupBy().applyInPandas(lambda f: _best_fit(f, capacity)[names], PIECE)
     out = filled.filter(F.col("sequence_id").isNotNull()).unionByName(whole.select(*names)).unionByName(last)
-    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if want_ids else []))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if want_ids else []))

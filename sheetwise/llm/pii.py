@@ -11,7 +11,7 @@ cannot add anything and are not computed: a lossless test, not a cap.
 Labelled spans for training: base spans in windows of a bounded sample of texts (`sample_rows`), and
 spans written by a seeded generator in usual and unusual forms among look-alikes that are no personal data.
 
-Defined results: null and empty texts have no spans; repeated rows are searched each; an empty table
+Defined results: null and empty texts have no spans; repeated rows are searched each; a null doc_id stays null; an empty table
 gives an empty result; other columns of the input are ignored.
 """
 
@@ -35,7 +35,7 @@ SAMPLE_ROWS = 400
 WINDOW, STRIDE = 96, 48
 HIDDEN = 16
 MIN_MEAN = 2.0  # of a model span's score per character
-RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+RESULT = "doc_id string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
 
 _TRIGGER = re.compile("[0-9@]")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -397,7 +397,8 @@ def _joined(spans: list[tuple[int, str, int]]) -> str:
 
 def find(docs: DataFrame, net: Tagger, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """RESULT: base spans' counts and digest, all spans, and how many the model added."""
-    d = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # As strings, ids with nulls among them do not become floats on their way through pandas.
+    d = docs.select(F.col(key).cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -410,7 +411,7 @@ def find(docs: DataFrame, net: Tagger, *, key: str = "doc_id", text: str = "text
                 out.append([i, *n, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every), len(more)])
             yield pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
 
-    return d.mapInPandas(search, RESULT)
+    return d.mapInPandas(search, RESULT).withColumn("doc_id", F.col("doc_id").cast(docs.schema[key].dataType))
 
 
 def redact(docs: DataFrame, net: Tagger, text: str = "text") -> DataFrame:

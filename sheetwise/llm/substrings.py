@@ -20,7 +20,8 @@ of a smaller doc_id. The result is exact: strings are compared by their bytes.
 5. The covered intervals of a document are merged and cut out of its whole text.
 
 Defined results: a null text is empty; texts shorter than `width` lose nothing; strings do not cross
-documents; rows of one doc_id do not remove one another and each is returned; an empty table gives an
+documents; rows of one doc_id do not remove one another and each is
+returned; rows without a doc_id neither remove nor lose anything; an empty table gives an
 empty result; other columns of the input are ignored.
 """
 
@@ -452,14 +453,15 @@ def covered(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width:
     """(d, copies, intervals): the texts as bytes; doc_id of texts that equal a smaller document's; doc_id, lo, hi otherwise."""
     spark = docs.sparkSession
     d = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
-    marks = materialise(d.select("doc_id", F.md5("text").alias("mark"), F.length("text").cast("long").alias("n")), "substr-marks")
+    named = d.filter("doc_id is not null")
+    marks = materialise(named.select("doc_id", F.md5("text").alias("mark"), F.length("text").cast("long").alias("n")), "substr-marks")
     least = marks.filter(F.col("n") >= width).groupBy("mark").agg(F.min("doc_id").alias("first"), F.count("*").alias("m")).filter("m > 1").select("mark", "first")
     # By doc_id and text: another row of the same doc_id may be no copy.
     copies = materialise(marks.join(least, "mark").filter(F.col("doc_id") > F.col("first")).select("doc_id", "mark").distinct(), "substr-copies")
     total = marks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = max(4, int(np.ceil(np.log2(max(1, total / 15 / BUCKET_ANCHORS)))))
     shards = max(8, int(total // SHARD_BYTES))
-    own = join_small(d.withColumn("mark", F.md5("text")), copies, ["doc_id", "mark"], "left_anti").select("doc_id", "text")
+    own = join_small(named.withColumn("mark", F.md5("text")), copies, ["doc_id", "mark"], "left_anti").select("doc_id", "text")
     packed = own.mapInArrow(lambda b: _anchors(b, bits, width), "key long, chunk long, payload binary")
     shared = packed.groupBy("key").applyInPandas(_shared, "chunk long, kind long, payload binary")
     shared = materialise(shared.groupBy("chunk").applyInPandas(_by_document, "doc_id long, light binary, heavy binary"), "substr-shared")
@@ -476,7 +478,7 @@ def covered(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width:
     return d, copies, intervals
 
 
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+RESULT = "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def _cut(text: bytes, spans: list | None) -> tuple[bytes, int, int]:
@@ -525,6 +527,8 @@ def removal(docs: DataFrame, **options) -> DataFrame:
                 out.append((i, len(t), gone, n, hashlib.sha256(kept).hexdigest()))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
 
-    return _with_spans(docs, **options).mapInPandas(rows, RESULT)
+    # As strings, ids with nulls among them do not become floats on their way through pandas.
+    d = _with_spans(docs, **options).withColumn("doc_id", F.col("doc_id").cast("string"))
+    return d.mapInPandas(rows, RESULT).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 

@@ -12,7 +12,7 @@ Scores are doubles, as the tokenizer's are. Chunks met before are looked up.
 Vocabularies: a sentencepiece model file, whose pieces and scores are taken as they are, or a tokenizers
 file with a unigram model.
 
-Defined results: null and empty texts have no tokens; repeated rows are counted each; an empty table gives
+Defined results: null and empty texts have no tokens; repeated rows are counted each; a null doc_id stays null; an empty table gives
 an empty result; other columns of the input are ignored.
 """
 
@@ -159,5 +159,6 @@ def count_tokens(docs: DataFrame, path: str, *, key: str = "doc_id", text: str =
         for f in frames:
             yield pd.DataFrame({"doc_id": f.doc_id, "n_tokens": [count(t) for t in f.text], "n_bytes": f.n_bytes})
 
-    d = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return d.withColumn("n_bytes", F.octet_length("text").cast("long")).mapInPandas(counted, "doc_id long, n_tokens long, n_bytes long")
+    # As strings, ids with nulls among them do not become floats on their way through pandas.
+    d = docs.select(F.col(key).cast("long").cast("string").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return d.withColumn("n_bytes", F.octet_length("text").cast("long")).mapInPandas(counted, "doc_id string, n_tokens long, n_bytes long").withColumn("doc_id", F.col("doc_id").cast("long"))

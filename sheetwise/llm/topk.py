@@ -10,7 +10,7 @@ a smaller id). The blocks' answers are merged by a window of k rows per query an
 Scores are exact integers: float matrix products only where every possible sum is below 2**53 (2**24
 in single precision), int64 below 2**62, Python integers saturated to the range of long beyond; components are held between -2**62 and 2**62.
 
-Defined results: vectors null or with null or non-finite components take no part; vectors of another
+Defined results: rows without an id and vectors null or with null or non-finite components take no part; vectors of another
 length than the query's are no candidates; empty vectors score 0; a repeated query row counts once;
 repeated candidate rows each take a place; a row with the query's own id is never its candidate; with
 fewer than k candidates all are returned; an empty table gives an empty result.

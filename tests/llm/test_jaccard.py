@@ -48,6 +48,8 @@ def test_corner_cases(spark):
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, "One"), (5, "one"), (6, "a b c d"), (7, "A\nb  c\td"), (8, "a b c d e"), (9, "a b c d e f"), (10, "é È"), (11, "é è")]
     rows += [(12, "x y z u v w x y z u v w " * 40), (13, "x y z u v w " * 7), (14, "p q r s t u v"), (14, "a b c d"), (14, "a b c d"), (15, "q " * 30_000)]
     check(spark, rows)
+    nameless = spark.createDataFrame([(None, "a b c d e f"), (None, None), (3, "a b c d e f")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(nameless).collect())[1:] == [(0, 2, None), (3, 2, 3)]
     assert jaccard.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 

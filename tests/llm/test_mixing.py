@@ -27,7 +27,7 @@ def documents(spark, seed=1):
         source = rng.choice(["big"] * 6 + ["a", "b", "Z", "é", None, "tiny"])
         n = rng.randrange(0, 120) if source != "tiny" else rng.randrange(3)
         rows.append((i, " \n".join(rng.choices(["w", "xx", "é"], k=n)) if n % 9 else None, source))
-    rows += [(7, "twice a b c", "a"), (7, "twice a b c", "a"), (8, " lead and trail \t", "b")]
+    rows += [(None, "no id at all", "a"), (None, "no id", "b"), (7, "twice a b c", "a"), (7, "twice a b c", "a"), (8, " lead and trail \t", "b")]
     return rows, spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit("x")).withColumn("epoch", F.lit("y"))
 
 

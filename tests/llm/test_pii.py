@@ -59,6 +59,7 @@ def test_model_finds_held_out_spans_and_adds_beside_base(spark):
     texts = [None, "", "the and of " * 30 + "call (415) 555-0134 now " + "er an " * 40, "mail a.b@c.org or +1 (017) 555-7713", "x" * 100_000]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("spans", F.lit(1))
     rows = {r.doc_id: r for r in pii.find(df, net).collect()}
+    assert pii.find(df.withColumn("doc_id", F.lit(None).cast("long")), net).filter("doc_id is null").count() == 5
     assert rows[0].spans == rows[1].spans == rows[4].spans == "" and rows[3].n_email == rows[3].n_phone == 1
     assert rows[3].spans.startswith("email:5:14,phone:18:35") and rows[2].n_phone == 0 and rows[2].n_added <= 1
     masked = {r.doc_id: r.text for r in pii.redact(df, net).collect()}

@@ -83,6 +83,8 @@ def test_equal_to_brute_force(spark, monkeypatch, small):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("mark", F.lit(1)).withColumn("spans", F.lit(2)).repartition(3)
     got = sorted(tuple(r) for r in substrings.removal(df).collect())
     assert got == brute(rows)
+    nameless = spark.createDataFrame([(None, "a b " * 30), (None, "a b " * 30), (1, "a b " * 30)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in substrings.removal(nameless).collect()) == [(0, 120, 0), (0, 120, 0), (1, 120, 0)]
     assert substrings.removal(df.limit(0)).count() == 0
 
 

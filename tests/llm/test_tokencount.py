@@ -38,8 +38,10 @@ def test_ties_take_the_longest_piece():
 
 
 def test_tables(spark):
-    rows = [(1, None), (2, ""), (3, "the cat"), (3, "the cat"), (4, "word " * 20_000)]
+    rows = [(2**60 + 1, "x"), (None, "the"), (1, None), (2, ""), (3, "the cat"), (3, "the cat"), (4, "word " * 20_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_tokens", F.lit("x"))
     got = [(r.doc_id, r.n_tokens, r.n_bytes) for r in tokencount.count_tokens(df, PATH).orderBy("doc_id").collect()]
+    assert got[0][0] is None and got[6][0] == 2**60 + 1
+    got = got[1:]
     assert got[:2] == [(1, 0, 0), (2, 0, 0)] and got[2] == got[3] and got[4][2] == 100_000
     assert tokencount.count_tokens(df.limit(0), PATH).count() == 0

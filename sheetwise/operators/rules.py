@@ -84,3 +84,55 @@ def facility_scope(hints: DataFrame, titles: DataFrame) -> DataFrame:
     text = titles.groupBy("doc").agg(F.lower(F.array_join(F.collect_list("title"), " ")).alias("_all"))
     both = hints.join(text, "doc").withColumn("shared", F.filter("hints", lambda h: F.col("_all").contains(h)))
     return both.select("doc", "shared", F.when(F.size("shared") > 0, "verified").otherwise("needs_review").alias("status"))
+
+
+#: Columns of a finding.
+FINDING = ("check", "status", "severity", "confidence", "subject", "graph_incomplete")
+
+
+def _finding(df: DataFrame, check: str, status: str, severity: str, confidence: float, subject: Column, incomplete: bool = False) -> DataFrame:
+    return df.select(F.lit(check).alias("check"), F.lit(status).alias("status"), F.lit(severity).alias("severity"), F.lit(confidence).alias("confidence"), subject.alias("subject"), F.lit(incomplete).alias("graph_incomplete"))
+
+
+def conformance_findings(tags: DataFrame) -> DataFrame:
+    """Tags whose letters stand in another order than the standard's. tags: canonical, conformance, is_safety, is_sis."""
+    return _finding(tags.filter("conformance = 'nonconformant_normalised'"), "tag_not_conformant", "finding", "low", 0.9, F.col("canonical"))
+
+
+def duplicate_findings(tags: DataFrame) -> DataFrame:
+    return _finding(duplicate_tags(tags), "duplicate_tag", "finding", "medium", 0.5, F.col("canonical"))
+
+
+def legend_findings(unresolved: DataFrame) -> DataFrame:
+    """One row where shapes are unresolved. unresolved: n."""
+    return _finding(unresolved.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).filter("n > 0"), "symbol_requires_legend", "needs_review", "info", 1.0, F.col("n").cast("string"), True)
+
+
+def safety_findings(tags: DataFrame) -> DataFrame:
+    """One row each for safety devices and for safety-instrumented tags, with their sorted names; none where there are none."""
+    names = lambda flag: tags.filter(flag).agg(F.array_join(F.array_sort(F.collect_set("canonical")), ", ").alias("names"), F.count("*").alias("n")).filter("n > 0")
+    device = _finding(names("is_safety"), "safety_devices_identified", "verified", "info", 0.9, F.col("names"))
+    return device.unionByName(_finding(names("is_sis"), "sis_tagging_present", "verified", "info", 0.8, F.col("names")))
+
+
+def scope_findings(hints: DataFrame, titles: DataFrame) -> DataFrame:
+    """Whether the procedure's title names a place that a drawing's title holds; nothing without hints or titles."""
+    s = facility_scope(hints.filter(F.size("hints") > 0), titles)
+    return s.select(F.lit("facility_scope").alias("check"), "status", F.when(F.col("status") == "verified", "info").otherwise("medium").alias("severity"), F.when(F.col("status") == "verified", 0.8).otherwise(0.5).alias("confidence"), F.array_join(F.array_sort("shared"), ", ").alias("subject"), F.lit(False).alias("graph_incomplete"))
+
+
+def unknown_tag_findings(paragraphs: DataFrame, known: DataFrame) -> DataFrame:
+    """Tags that paragraphs (text) name and the drawing (canonical) lacks."""
+    from sheetwise.functions.tags import referenced_tags
+
+    named = paragraphs.select(F.explode(referenced_tags(F.col("text"))).alias("tag"))
+    return _finding(absent_tags(named, known.select(F.col("canonical").alias("tag"))), "sop_references_unknown_tag", "needs_review", "low", 0.4, F.col("tag"), True)
+
+
+def cross_reference(tags: DataFrame, requirements: DataFrame, limits: DataFrame, paragraphs: DataFrame, hints: DataFrame, titles: DataFrame, unresolved: DataFrame, recall: float) -> DataFrame:
+    """All findings, with field and ordinal where a limit is concerned."""
+    plain = (conformance_findings(tags), duplicate_findings(tags), legend_findings(unresolved), safety_findings(tags), scope_findings(hints, titles), unknown_tag_findings(paragraphs, tags))
+    out = limit_findings(requirements, limits, recall).select(*FINDING, "field", "ordinal")
+    for f in plain:
+        out = out.unionByName(f.select(*FINDING, F.lit(None).cast("string").alias("field"), F.lit(None).cast("int").alias("ordinal")))
+    return out

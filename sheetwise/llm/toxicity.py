@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 SAMPLE_ROWS = 10_000  # labelled rows to learn from
 LEXICON_WORDS = 500
+SLICE = 128  # texts whose word lists are held at once
 SUPPORT = 0.03  # of the toxic rows that a lexicon word must occur in
 MIN_SUPPORT = 4
 MIN_WEIGHT = 1.6
@@ -143,13 +144,15 @@ def learn(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", label
     some = rows.filter(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_rows / n)))
 
     def tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            near, words = [], []
-            for t in f.t:
-                w = fold(t).split()
-                near.append(_near_key(w))
-                words.append(sorted(set(w) | {f"{a} {b}" for a, b in zip(w, w[1:])}))
-            yield pd.DataFrame({"y": f.y, "near": near, "w": words})
+        for whole in frames:
+            for lo in range(0, len(whole), SLICE):  # lists of words are many times a text's size
+                f = whole.iloc[lo : lo + SLICE]
+                near, words = [], []
+                for t in f.t:
+                    w = fold(t).split()
+                    near.append(_near_key(w))
+                    words.append(sorted(set(w) | {f"{a} {b}" for a, b in zip(w, w[1:])}))
+                yield pd.DataFrame({"y": f.y.to_numpy(), "near": near, "w": words})
 
     t = some.mapInPandas(tokens, "y int, near long, w array<string>")
     sizes = t.groupBy("y").agg(F.countDistinct("near").alias("n")).collect()

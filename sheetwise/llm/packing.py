@@ -37,7 +37,7 @@ CAPACITY = 2048
 CLASSES = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 18, 20, 24, 28, 32, 40, 48, 64, 96, 128, 256, 512, 1024, 2048)
 WASTE = 16  # a piece may leave so small a part of its share unused
 SMALL = 64  # remainders below are not cut further
-CACHE = 400_000  # chunks that a worker remembers
+CACHE = 250_000  # chunks that a worker remembers
 PIECE = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, ids binary, cls int, pid long, nth long, sequence_id long, offset long"
 
 

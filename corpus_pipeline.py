@@ -14,8 +14,17 @@ from sheetwise.llm import jaccard, mixing, packing, pii, toxicity
 from sheetwise.llm.shared import materialise
 
 
+#: Texts of a batch between Spark and Python: whole texts are long, and both sides hold a batch.
+BATCH_ROWS = "1000"
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is below 0.5; the model learns from the labels outside the held-out fold."""
+    _small_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.learn_from_tables(docs, labels)
     return toxicity.score_texts(docs, model, out="_toxicity").filter("_toxicity < 0.5").drop("_toxicity")
@@ -23,11 +32,13 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document of the smallest doc_id."""
+    _small_batches(spark)
     return jaccard.distinct_documents(docs)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with spans of personal data replaced by their kind; n_chars follows the new text."""
+    _small_batches(spark)
     net = pii.train(pii.labelled_windows(docs))
     return pii.redact(docs, net).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
@@ -39,6 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 2048 tokens, with their ids."""
+    _small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), want_ids=True)
 
 

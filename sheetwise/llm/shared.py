@@ -88,21 +88,23 @@ def release(spark: SparkSession) -> None:
     time.sleep(0.5)  # the cleaner runs beside
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) -> (v, label): for each node of an edge the smallest node it is connected to.
 
-    Minimum labels spread along edges and jump along labels until nothing changes; every round is written,
-    so a lost executor costs one round. Hot nodes only meet sums and joins that adaptive execution can split.
+    Each round lowers the label of a node, and that of the node it names, to the least label next to it, then
+    jumps along that label, until nothing changes: labels only fall, and once none does they are equal along
+    every edge. Every round is written, so a lost executor costs one round. Hot nodes only meet sums and joins
+    that adaptive execution can split.
     """
     both = materialise(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "cc-edges")
     labels = materialise(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("label")), "cc-labels")
-    for _ in range(rounds):
+    while True:
         near = both.join(labels, both["b"] == labels["v"]).groupBy("a").agg(F.min("label").alias("m"))
         step = labels.join(near, labels["v"] == near["a"], "left").select("v", "label", F.least("label", "m").alias("low"))
+        own, root = F.struct("v", "low", F.col("label").alias("old")), F.struct(F.col("label").alias("v"), "low", F.lit(None).cast(labels.schema["label"].dataType).alias("old"))
+        step = step.select(F.explode(F.array(own, root)).alias("x")).select("x.*").groupBy("v").agg(F.min("low").alias("low"), F.max("old").alias("old"))
         jump = labels.select(F.col("v").alias("low"), F.col("label").alias("far"))
-        new = materialise(step.join(jump, "low", "left").select("v", F.least("low", "far").alias("label"), F.col("label").alias("old")), "cc-labels")
-        changed = new.filter("label <> old").limit(1).count()
+        new = materialise(step.join(jump, "low", "left").select("v", F.least("low", "far").alias("label"), "old"), "cc-labels")
         labels = new.select("v", "label")
-        if not changed:
-            break
-    return labels
+        if not new.filter("label <> old").limit(1).count():
+            return labels

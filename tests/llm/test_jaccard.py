@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from sheetwise.llm import jaccard
+from sheetwise.llm import jaccard, shared
 
 
 def brute(rows, percent=80):
@@ -72,3 +72,12 @@ def test_groups_through_every_index(spark, monkeypatch):
         i += 3
     rng.shuffle(rows)
     check(spark, rows)
+
+
+def test_components_of_long_chains(spark):
+    """A chain of shuffled ids, and 0, n, n - 1, ..., 1, which labels cross an edge a round unless roots are hooked."""
+    order = random.Random(2).sample(range(300), 300)
+    down = [1000, *range(1150, 1000, -1)]
+    edges = [*zip(order, order[1:]), *zip(down, down[1:]), (5000, 5001)]
+    got = {r.v: r.label for r in shared.components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()}
+    assert got == {v: 0 for v in order} | {v: 1000 for v in down} | {5000: 5000, 5001: 5000}

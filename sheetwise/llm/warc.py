@@ -69,6 +69,9 @@ def _parse(raw: bytes, at: int, want_payload: bool) -> tuple[dict | None, int, s
     if raw[at : at + len(VERSION) + 2] != VERSION + b"\r\n":
         return None, at, "no version line"
     stop = raw.find(END, at, at + (1 << 16))
+    if stop < 0:  # long headers: they end before the next version line, if there is one
+        after = raw.find(b"\r\n" + VERSION + b"\r\n", at)
+        stop = raw.find(END, at, len(raw) if after < 0 else after + 2)
     if stop < 0:
         return None, at, "no end of headers"
     heads = {}

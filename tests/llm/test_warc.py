@@ -31,6 +31,15 @@ def test_salvage_recovers_after_damage():
     assert [r["gap"] for r in warc.salvage(b"junk")] == [True]
 
 
+def test_urls_of_any_length():
+    for compress in (True, False):
+        urls = ["data:," + "x" * 100_000, "http://x/1", "data:," + " " * 100_000, None]
+        raw = b"".join(warc.record(i, u, b"<p>", warc.base32_sha1(b"<p>"), 1 if i == 3 else None, compress) for i, u in enumerate(urls))
+        assert [(r["gap"], r.get("page_id"), r.get("refers_to")) for r in warc.salvage(raw)] == [(False, 0, None), (False, 1, None), (False, 2, None), (False, 3, 1)]
+        cut = raw if compress else raw.replace(warc.END, b"", 1)  # headers without an end: the next record is still found
+        assert [r["page_id"] for r in warc.salvage(cut) if not r["gap"]] == ([0, 1, 2, 3] if compress else [1, 2, 3])
+
+
 def test_round_trip_with_nulls_repeats_and_clashing_columns(spark):
     rows = [(1, "u", "a"), (2, None, "a"), (3, "u", None), (4, "u", ""), (5, "u x\r\n", "é\r\n\r\nWARC/1.1\r\n"), (6, "u", "a"), (6, "u", "b")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("sha1", F.lit(1)).withColumn("payload", F.lit("x"))

@@ -27,20 +27,24 @@ def _written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 100) -> DataFrame:
-    """node, component: the smallest node that each node is connected to. Labels spread along edges and jump along labels."""
+def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """node, component: the smallest node that each node is connected to.
+
+    Each round lowers the label of a node, and that of the node it names, to the least label next to it, then jumps
+    along that label, until nothing changes: labels only fall, and once none does they are equal along every edge."""
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
     both = _written(e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = _written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
-    for _ in range(rounds):
+    while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m"))
         step = labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("component").alias("old"), F.least("component", "m").alias("low"))
+        own, root = F.struct("node", "low", "old"), F.struct(F.col("old").alias("node"), "low", F.lit(None).cast(labels.schema["component"].dataType).alias("old"))
+        step = step.select(F.explode(F.array(own, root)).alias("x")).select("x.*").groupBy("node").agg(F.min("low").alias("low"), F.max("old").alias("old"))
         jump = labels.select(F.col("node").alias("low"), F.col("component").alias("far"))
         new = _written(step.join(jump, "low", "left").select("node", F.least("low", "far").alias("component"), "old"))
         labels = new.select("node", "component")
         if not new.filter("component <> old").limit(1).count():
-            break
-    return labels
+            return labels
 
 
 def walk(edges: DataFrame, starts: DataFrame, direction: str = "downstream", max_depth: int = 12, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -84,11 +88,38 @@ def component_pairs(members: DataFrame, existing: DataFrame, component: str = "c
     return a.join(b, component).filter("lo < hi").select("lo", "hi").distinct().join(existing, ["lo", "hi"], "left_anti")
 
 
-def greedy_match(pairs: DataFrame, by: list[str], left: str, right: str, order: list[str], rounds: int = 100) -> DataFrame:
+def _in_order(rest: DataFrame, by: list[str], left: str, right: str, order: list[str]) -> DataFrame:
+    """The sequential rule itself: each group's pairs stream past in order; only its used ends are held."""
+    named = rest.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in [*by, left, right]))
+    ends = [F.to_json(F.struct(*by)), F.to_json(F.struct(left)), F.to_json(F.struct(right))]  # hashable, of any type
+    dealt = named.repartition(*by).sortWithinPartitions(*by, *order, left, right)
+    dealt = dealt.select(*rest.columns, *(c.alias(f"_end{i}") for i, c in enumerate(ends)))
+
+    def take(batches):
+        import pyarrow as pa
+
+        group, used_l, used_r = None, set(), set()
+        for b in batches:
+            keep = []
+            for g, one, two in zip(*(b.column(f"_end{i}").to_pylist() for i in range(3)), strict=True):
+                if g != group:
+                    group, used_l, used_r = g, set(), set()
+                keep.append(one not in used_l and two not in used_r)
+                if keep[-1]:
+                    used_l.add(one)
+                    used_r.add(two)
+            yield b.select(columns).filter(pa.array(keep, pa.bool_()))
+
+    columns = rest.columns
+    return _written(dealt.mapInArrow(take, rest.schema))
+
+
+def greedy_match(pairs: DataFrame, by: list[str], left: str, right: str, order: list[str], rounds: int = 8) -> DataFrame:
     """One-to-one matching, best pairs first: what taking pairs in `order` and skipping used ends gives.
 
     `order` with left and right must be a strict total order (smaller is better). Each round accepts the
-    pairs that are first at both ends and removes their ends."""
+    pairs that are first at both ends and removes their ends. What is left after `rounds` of them waits for
+    one another, as equal costs do, and is taken in order, group by group."""
     rank = F.struct(*order, left, right)
     rest = _written(pairs.select(*by, left, right, *order))
     done = None
@@ -97,7 +128,7 @@ def greedy_match(pairs: DataFrame, by: list[str], left: str, right: str, order:
         best_r = rest.groupBy(*by, right).agg(F.min(rank).alias("_r"))
         hit = _written(rest.join(best_l, [*by, left]).join(best_r, [*by, right]).filter((rank == F.col("_l")) & (rank == F.col("_r"))).select(*rest.columns))
         if not hit.limit(1).count():
-            break
+            return done if done is not None else rest.limit(0)
         done = hit if done is None else done.unionByName(hit)
         rest = _written(rest.join(hit.select(*by, left), [*by, left], "left_anti").join(hit.select(*by, right), [*by, right], "left_anti"))
-    return done if done is not None else rest.limit(0)
+    return done.unionByName(_in_order(rest, by, left, right, order))

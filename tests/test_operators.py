@@ -105,6 +105,19 @@ def test_greedy_match_is_the_sequential_one(spark):
     assert {tuple(r) for r in got} == want
 
 
+def test_greedy_match_of_many_equal_boxes(spark):
+    """Equal costs let a round accept one pair a page: 150 equal boxes need 149 in turn."""
+    pairs = [(page, a, b, -1.0) for page in (1, 2) for a in range(150) for b in range(a + 1, 150)]
+    got = graph.greedy_match(spark.createDataFrame(pairs, "page int, l int, r int, cost double"), ["page"], "l", "r", ["cost"]).collect()
+    assert sorted(map(tuple, got)) == [(page, a, a + 1, -1.0) for page in (1, 2) for a in range(149)]
+
+
+def test_components_of_a_long_chain(spark):
+    order = random.Random(1).sample(range(501), 501)
+    edges = spark.createDataFrame([*zip(order, order[1:]), (1000, 1000)], "src long, dst long")
+    assert {r.node: r.component for r in graph.components(edges).collect()} == {v: 0 for v in order} | {1000: 1000}
+
+
 def test_sheets_and_modules(spark):
     rows = [(792.0, 1224.0, "ANSI_B", "ISA"), (2448.0, 1584.0, "ANSI_D", "ISA"), (594 * 72 / 25.4, 841 * 72 / 25.4, "ISO_A1", "ISO"), (300.0, 400.0, "custom", "unknown")]
     df = spark.createDataFrame(rows, "w double, h double, s string, u string").withColumn("d", classify.detect_sheet(F.col("w"), F.col("h")))

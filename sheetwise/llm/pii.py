@@ -4,9 +4,11 @@ Base spans of the four kinds come from patterns over the whole text. The model,
 from labelled spans, tags characters with B/I tags of the kinds. Texts are covered by overlapping
 windows; each is decoded by Viterbi, and the windows' spans of a text are reconciled together: of all
 sets of spans that do not overlap, that with the largest total score is taken. A span of the model is
-added if it overlaps no base span, its mean score is large enough and its digits fit its kind (Luhn,
-at most 255, number of digits). Every such span holds a digit or an at sign, so windows without one
-cannot add anything and are not computed: a lossless test, not a cap.
+added if it overlaps no base span, its mean score is large enough and its text fits its kind (Luhn,
+at most 255, number of digits, an at sign and dots, which may be spelled out: 'a at b dot org',
+'a[at]b[.]org'). Every such span holds a digit, an at sign or a spelled-out one that a label and a
+spelled-out dot follow, so windows without one cannot add anything and are not computed: a lossless
+test, not a cap.
 
 Labelled spans for training: base spans in windows of a bounded sample of texts (`sample_rows`), and
 spans written by a seeded generator in usual and unusual forms among look-alikes that are no personal data.
@@ -38,6 +40,12 @@ MIN_MEAN = 2.0  # of a model span's score per character
 RESULT = "doc_id string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
 
 _TRIGGER = re.compile("[0-9@]")
+_AT, _DOT = r"(?: at |\x20?[\[(]at[\])]\x20?)", r"(?: dot |\x20?[\[(](?:\.|dot)[\])]\x20?)"
+_LABEL = r"[A-Za-z0-9_%+-]+"
+#: An email address with its signs spelled out; the name before the at sign may have plain dots too.
+_SPELLED = re.compile(rf"{_LABEL}(?:(?:\.|{_DOT}){_LABEL})*{_AT}{_LABEL}(?:{_DOT}{_LABEL})+", re.IGNORECASE | re.ASCII)
+#: What a span of the model must hold: a digit, an at sign, or what _SPELLED has from its at sign on.
+_HINT = re.compile(rf"[0-9@]|{_AT}(?={_LABEL}{_DOT}{_LABEL})", re.IGNORECASE | re.ASCII)
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 # The same matches as without look-behind and possessive repeats, in linear time on long runs of digits.
@@ -330,7 +338,9 @@ def _fits(kind: str, s: str) -> bool:
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == "phone":
         return 9 <= len(d) <= 15 and not re.search(r"[A-Za-z@]", s) and s[0] in "+(0123456789"
-    return "@" in s and re.fullmatch(r"[^\s@]+\s?@\s?[^\s@.]+(\s?\.\s?[^\s@.]+)+", s) is not None
+    if "@" not in s:
+        return _SPELLED.fullmatch(s) is not None
+    return re.fullmatch(r"[^\s@]+\s?@\s?[^\s@.]+(\s?\.\s?[^\s@.]+)+", s) is not None
 
 
 def reconcile(found: list[tuple[int, int, str, float]]) -> list[tuple[int, str, int]]:
@@ -354,11 +364,17 @@ def reconcile(found: list[tuple[int, int, str, float]]) -> list[tuple[int, str,
     return out[::-1]
 
 
+def _hints(t: str) -> Iterator[re.Match]:
+    """Matches of _HINT; without a spelled-out dot only those of _TRIGGER are possible, which is quicker."""
+    low = t.lower()
+    return (_HINT if any(d in low for d in (" dot ", "[.]", "(.)", "[dot]", "(dot)")) else _TRIGGER).finditer(t)
+
+
 def added_spans(net: Tagger, texts: list[str], bases: list[list[tuple[int, str, int]]], at_once: int = 512) -> list[list[tuple[int, str, int]]]:
     """The model's spans for each text, beside its base spans."""
     places = []
     for i, t in enumerate(texts):
-        starts = {max(0, s) for m in _TRIGGER.finditer(t) for s in ((m.start() // STRIDE - 1) * STRIDE, m.start() // STRIDE * STRIDE)}
+        starts = {max(0, s) for m in _hints(t) for s in ((m.start() // STRIDE - 1) * STRIDE, m.start() // STRIDE * STRIDE)}
         places += [(i, s) for s in sorted(starts)]
     found: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
     for lo in range(0, len(places), at_once):

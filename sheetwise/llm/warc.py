@@ -7,7 +7,13 @@ reader passes over.
 Reading: a record is taken only if all its checks hold: gzip checksum and length, version line, headers,
 Content-Length, the closing blank lines, and the block and payload digests. After a failed check the reader searches for
 the next valid member (gzip signature) or version line, takes up reading there, and logs the bytes in
-between as a quarantined gap. Plain and gzip records may be mixed.
+between as a quarantined gap. Plain and gzip records of WARC/1.0 and 1.1 may be mixed.
+
+Inside a member, reading is taken up at the next version line of what was inflated, and records found so
+carry the member's place, as its gap does. Of a member that does not inflate or fails its checksum, what came
+before the error is read as well; as the checksum then proves nothing, a record must have a block digest, and
+headers of this writer (X-Page-ID) must be proved by its record id, a hash of all other headers. A member that
+is only cut short is taken up to the cut.
 
 Defined results: a null payload is written as an empty one; of records with equal payloads of at least
 `min_bytes` bytes, that with the smallest page_id is the response (of repeated page_ids, all rows with
@@ -31,6 +37,9 @@ from pyspark.sql import functions as F
 from sheetwise.llm.shared import new_path
 
 VERSION = b"WARC/1.1"
+VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
+#: Where reading may be taken up again.
+START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 GZIP = b"\x1f\x8b\x08"
 #: A gzip member that holds nothing; it stands between records.
 EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
@@ -47,8 +56,7 @@ def base32_sha1(data: bytes) -> str:
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, compress: bool = True) -> bytes:
     """One record; refers_to makes it a revisit, which carries no payload."""
     kind, block = ("response", payload) if refers_to is None else ("revisit", b"")
-    name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}|{url}|{digest}|{kind}")
-    heads = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{name}>"), ("WARC-Date", "1970-01-01T00:00:00Z")]
+    heads = [("WARC-Type", kind), ("WARC-Date", "1970-01-01T00:00:00Z")]
     if url is not None:
         heads.append(("WARC-Target-URI", re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)))
     if page_id is not None:
@@ -57,25 +65,32 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
         heads += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page-ID", str(refers_to))]
     heads += [("WARC-Payload-Digest", f"sha1:{digest}"), ("WARC-Block-Digest", f"sha1:{base32_sha1(block)}"), ("X-Payload-Length", str(len(payload)))]
     heads += [("Content-Type", "text/html"), ("Content-Length", str(len(block)))]
-    raw = VERSION + b"\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in heads) + b"\r\n" + block + END
+    lines = [f"{k}: {v}".encode() for k, v in heads]
+    raw = b"\r\n".join([VERSION, f"WARC-Record-ID: {_record_id(lines)}".encode(), *lines]) + END + block + END
     if not compress:
         return raw
     z = zlib.compressobj(6, zlib.DEFLATED, 31)
     return z.compress(raw) + z.flush()
 
 
-def _parse(raw: bytes, at: int, want_payload: bool) -> tuple[dict | None, int, str]:
-    """The record that starts at `at`: (record, end, reason of failure)."""
-    if raw[at : at + len(VERSION) + 2] != VERSION + b"\r\n":
+def _record_id(lines: list[bytes]) -> str:
+    """A name made of all other header lines."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, b'\r\n'.join(lines))}>"
+
+
+def _parse(raw: bytes, at: int, want_payload: bool, proved: bool = True) -> tuple[dict | None, int, str]:
+    """The record that starts at `at`: (record, end, reason of failure). Unless a checksum proved the bytes, digests must."""
+    if not VERSION_LINE.match(raw, at):
         return None, at, "no version line"
     stop = raw.find(END, at, at + (1 << 16))
     if stop < 0:  # long headers: they end before the next version line, if there is one
-        after = raw.find(b"\r\n" + VERSION + b"\r\n", at)
-        stop = raw.find(END, at, len(raw) if after < 0 else after + 2)
+        after = VERSION_LINE.search(raw, at + len(VERSION))
+        stop = raw.find(END, at, after.start() if after else len(raw))
     if stop < 0:
         return None, at, "no end of headers"
     heads = {}
-    for line in raw[at + len(VERSION) + 2 : stop].split(b"\r\n"):
+    lines = raw[at + len(VERSION) + 2 : stop].split(b"\r\n")
+    for line in lines:
         k, sep, v = line.partition(b":")
         if not sep:
             return None, at, "bad header"
@@ -92,6 +107,10 @@ def _parse(raw: bytes, at: int, want_payload: bool) -> tuple[dict | None, int, s
     block = raw[lo:hi]
     if heads.get("warc-block-digest", "") not in ("", f"sha1:{base32_sha1(block)}"):
         return None, at, "block digest differs"
+    if not proved and not heads.get("warc-block-digest"):
+        return None, at, "checksum fails and there is no block digest"
+    if not proved and "x-page-id" in heads and heads.get("warc-record-id") != _record_id([x for x in lines if not x.startswith(b"WARC-Record-ID:")]):
+        return None, at, "checksum fails and the record id does not prove the headers"
     digest, kind = heads.get("warc-payload-digest", "").removeprefix("sha1:"), heads.get("warc-type", "")
     if kind == "response" and digest and digest != base32_sha1(block):
         return None, at, "payload digest differs"
@@ -99,45 +118,83 @@ def _parse(raw: bytes, at: int, want_payload: bool) -> tuple[dict | None, int, s
     return found, hi + 4, ""
 
 
+def _inflate(raw: bytes, at: int) -> tuple[bytes, int, str, bool]:
+    """The member that starts at `at`: (all that inflates, end, reason of failure, whether it is only cut short)."""
+    z, parts, fed = zlib.decompressobj(31), [], at
+    try:
+        while fed < len(raw) and not z.eof:  # piece by piece: what follows the member is not copied
+            parts.append(z.decompress(raw[fed : fed + (1 << 14)]))
+            fed = min(len(raw), fed + (1 << 14))
+        return b"".join(parts), fed - len(z.unused_data), "" if z.eof else "member is cut short", not z.eof
+    except zlib.error as e:
+        reason = f"member does not inflate: {e}"
+    z = zlib.decompressobj(31)
+    for k in range(at, fed, 1 << 14):
+        z.decompress(raw[k : k + (1 << 14)])
+    try:
+        while fed < len(raw):  # byte by byte up to the error
+            parts.append(z.decompress(raw[fed : fed + 1]))
+            fed += 1
+    except zlib.error:
+        pass
+    return b"".join(parts), fed, reason, False
+
+
+def _inside(plain: bytes, want_payload: bool, proved: bool) -> tuple[list[dict], str]:
+    """The records of a member's text that pass every check, and the reason of the first failure."""
+    found, inner, why = [], 0, ""
+    while inner < len(plain):
+        one, end, reason = _parse(plain, inner, want_payload, proved)
+        if not reason:
+            found.append(one)
+            inner = end
+            continue
+        why = why or reason
+        after = VERSION_LINE.search(plain, inner + 1)
+        inner = after.start() if after else len(plain)
+    return found, why
+
+
 def salvage(raw: bytes, want_payload: bool = False) -> Iterator[dict]:
-    """All records of an archive that pass every check, and a gap for every run of other bytes."""
+    """All records of an archive that pass every check, and a gap for every run of other bytes.
+
+    The gap of a damaged member covers it whole; the records that it still gave lie inside."""
     at, bad_from, why = 0, -1, ""
+    spent, spent_to, spent_at = b"", 0, 0  # text of a damaged member, which may stand in the archive as it is
 
     def gap(end: int) -> dict:
         return {"offset": bad_from, "length": end - bad_from, "gap": True, "reason": why}
 
     while at < len(raw):
-        found, end, reason = [], at, "no member or version line"
+        found, end, reason, whole = [], at, "no member or version line", False
         if raw[at : at + 3] == GZIP:
-            z = zlib.decompressobj(31)
-            try:
-                parts, fed = [], at
-                while fed < len(raw) and not z.eof:  # piece by piece: what follows the member is not copied
-                    parts.append(z.decompress(raw[fed : fed + (1 << 14)]))
-                    fed = min(len(raw), fed + (1 << 14))
-                plain, end = b"".join(parts), fed - len(z.unused_data)
-                reason = "" if z.eof else "member is cut short"
-                inner = 0
-                while not reason and inner < len(plain):
-                    one, inner, reason = _parse(plain, inner, want_payload)
-                    found.append(one)
-            except zlib.error as e:
-                reason = f"member does not inflate: {e}"
-        elif raw.startswith(VERSION, at):
+            plain, end, reason, cut = _inflate(raw, at)
+            whole = not reason
+            found, inner = _inside(plain, want_payload, whole or cut)
+            reason = reason or inner
+            if reason and end > spent_to:
+                spent, spent_to, spent_at = plain, end, 0
+        elif VERSION_LINE.match(raw, at):
             one, end, reason = _parse(raw, at, want_payload)
-            found.append(one)
+            if not reason and at < spent_to and (k := spent.find(raw[at:end], spent_at)) >= 0:
+                spent_at, reason = k + 1, "part of a damaged member"
+            found = [one] if not reason else []
+        if bad_from >= 0 and (found or not reason):
+            yield gap(at)
+            bad_from = -1
+        for one in found:
+            yield one | {"offset": at, "length": end - at, "gap": False, "reason": None}
         if not reason:
-            if bad_from >= 0:
-                yield gap(at)
-                bad_from = -1
-            for one in found:
-                yield one | {"offset": at, "length": end - at, "gap": False, "reason": None}
             at = end
             continue
         if bad_from < 0:
             bad_from, why = at, reason
-        after = [p for p in (raw.find(GZIP, at + 1), raw.find(VERSION + b"\r\n", at + 1)) if p >= 0]
-        at = min(after, default=len(raw))
+        if whole and found:  # the member ends where it should
+            yield gap(end)
+            at, bad_from = end, -1
+            continue
+        after = START.search(raw, at + 1)
+        at = after.start() if after else len(raw)
     if bad_from >= 0:
         yield gap(len(raw))
 

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 from pyspark.sql import functions as F
 
@@ -40,6 +41,42 @@ def test_urls_of_any_length():
         assert [r["page_id"] for r in warc.salvage(cut) if not r["gap"]] == ([0, 1, 2, 3] if compress else [1, 2, 3])
 
 
+def member(plain):
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return z.compress(plain) + z.flush()
+
+
+def test_salvage_inside_a_member():
+    rng = random.Random(2)
+    payloads = [rng.randbytes(3000) for _ in range(9)]
+    parts = [warc.record(i, f"http://x/{i}", p, warc.base32_sha1(p), None, False) for i, p in enumerate(payloads)]
+    pages = lambda raw: [r["page_id"] for r in warc.salvage(raw) if not r["gap"]]
+    gaps = lambda raw: [(r["offset"], r["length"]) for r in warc.salvage(raw) if r["gap"]]
+    whole, other = member(b"".join(parts)), warc.record(77, "u", b"", warc.base32_sha1(b""), None)
+    assert pages(whole) == list(range(9)) and gaps(whole) == []
+    for hit in (0, 4, 8):  # a record damaged before it was packed
+        bad = bytearray(parts[hit])
+        bad[-100] ^= 1
+        raw = member(b"".join([*parts[:hit], bytes(bad), *parts[hit + 1 :]]))
+        assert pages(other + raw + other) == [77, *(i for i in range(9) if i != hit), 77] and gaps(other + raw + other) == [(len(other), len(raw))]
+    cut = whole[: len(whole) * 2 // 3]
+    assert pages(cut) == list(range(5)) or pages(cut) == list(range(6))
+    assert gaps(cut) == [(0, len(cut))] and pages(cut + other)[-1] == 77 and pages(cut + other)[:5] == list(range(5))
+    broken = bytearray(whole)
+    broken[len(whole) // 2] ^= 0x55  # in stored bytes: only the checksum at the end fails
+    assert pages(bytes(broken) + other) == [0, 1, 2, 3, 5, 6, 7, 8, 77] and gaps(bytes(broken) + other) == [(0, len(broken))]
+    # Headers that no digest covers are not taken from a member that fails its checksum.
+    z = zlib.compressobj(0, zlib.DEFLATED, 31)
+    wrong = (z.compress(b"".join(parts)) + z.flush()).replace(b"X-Page-ID: 4", b"X-Page-ID: 5")
+    assert pages(wrong) == [0, 1, 2, 3, 5, 6, 7, 8]
+
+
+def test_salvage_reads_both_versions():
+    parts = [warc.record(i, "u", b"<p>", warc.base32_sha1(b"<p>"), None, False).replace(b"WARC/1.1", b"WARC/1.0") for i in range(3)]
+    for raw in (b"".join(parts), member(b"".join(parts)), b"".join(map(member, parts)), b"".join([parts[0], b"junk", parts[1], b"junk", parts[2]])):
+        assert [r["page_id"] for r in warc.salvage(raw) if not r["gap"]] == [0, 1, 2]
+
+
 def test_round_trip_with_nulls_repeats_and_clashing_columns(spark):
     rows = [(1, "u", "a"), (2, None, "a"), (3, "u", None), (4, "u", ""), (5, "u x\r\n", "é\r\n\r\nWARC/1.1\r\n"), (6, "u", "a"), (6, "u", "b")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("sha1", F.lit(1)).withColumn("payload", F.lit("x"))

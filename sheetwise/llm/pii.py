@@ -3,7 +3,8 @@
 Base spans of the four kinds come from patterns over the whole text. The model, trained here in numpy
 from labelled spans, tags characters with B/I tags of the kinds. Texts are covered by overlapping
 windows; each is decoded by Viterbi, and the windows' spans of a text are reconciled together: of all
-sets of spans that do not overlap, that with the largest total score is taken. A span of the model is
+sets of spans that do not overlap, that with the largest total score is taken. A span that no window
+holds whole is decoded again in windows centred on it, widened until it ends inside. A span of the model is
 added if it overlaps no base span, its mean score is large enough and its text fits its kind (Luhn,
 at most 255, number of digits, an at sign and dots, which may be spelled out: 'a at b dot org',
 'a[at]b[.]org'). Every such span holds a digit, an at sign or a spelled-out one that a label and a
@@ -370,36 +371,84 @@ def _hints(t: str) -> Iterator[re.Match]:
     return (_HINT if any(d in low for d in (" dot ", "[.]", "(.)", "[dot]", "(dot)")) else _TRIGGER).finditer(t)
 
 
-def added_spans(net: Tagger, texts: list[str], bases: list[list[tuple[int, str, int]]], at_once: int = 512) -> list[list[tuple[int, str, int]]]:
-    """The model's spans for each text, beside its base spans."""
-    places = []
-    for i, t in enumerate(texts):
-        starts = {max(0, s) for m in _hints(t) for s in ((m.start() // STRIDE - 1) * STRIDE, m.start() // STRIDE * STRIDE)}
-        places += [(i, s) for s in sorted(starts)]
-    found: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
+def _may_fit(kind: str, part: str) -> bool:
+    """Whether a span that holds `part` can fit its kind: only a number of digits rules it out."""
+    return kind == "email" or len(_digits(part)) <= {"ip": 12, "card": 19, "phone": 15}[kind]
+
+
+def _tagged(net: Tagger, texts: list[str], places: list[tuple[int, int]], width: int, at_once: int) -> Iterator[tuple[int, int, int, int, str, float, bool]]:
+    """(place, text, start, end, kind, mean score, whole) of the spans in windows of one width; a span that a window cuts is not whole."""
     for lo in range(0, len(places), at_once):
         part = places[lo : lo + at_once]
-        x = np.zeros((WINDOW, len(part)), np.int64)
+        x = np.zeros((width, len(part)), np.int64)
         for j, (i, s) in enumerate(part):
-            c = encode(texts[i][s : s + WINDOW])
+            c = encode(texts[i][s : s + width])
             x[: len(c), j] = c
         y, score = net.decode(x)
         for j in np.flatnonzero((y > 0).any(axis=0)):
             i, s = part[j]
             t = 0
-            while t < WINDOW:
+            while t < width:
                 if y[t, j] == 0:
                     t += 1
                     continue
                 k = (y[t, j] - 1) // 2
                 end = t + 1
-                while end < WINDOW and y[end, j] == 2 * k + 2:
+                while end < width and y[end, j] == 2 * k + 2:
                     end += 1
-                whole = (t > 0 or s == 0) and (end < WINDOW or s + end >= len(texts[i]))  # not cut by the window
-                mean = float(score[t:end, j].mean())
-                if whole and s + end <= len(texts[i]) and mean >= MIN_MEAN and _fits(KINDS[k], texts[i][s + t : s + end]):
-                    found[i].append((s + t, s + end, KINDS[k], mean * (end - t)))
+                whole = (t > 0 or s == 0) and (end < width or s + end >= len(texts[i]))  # not cut by the window
+                yield lo + int(j), i, s + t, s + end, KINDS[k], float(score[t:end, j].mean()), whole
                 t = end
+
+
+def _wider(cut: list[tuple[int, int, int]], width: int) -> dict[int, list[tuple[int, int, int]]]:
+    """The cut stretches (text, start, end), those that overlap or touch as one, by the width of their next window."""
+    joined: list[tuple[int, int, int]] = []
+    for i, a, b in sorted(cut):
+        if joined and joined[-1][0] == i and a <= joined[-1][2]:
+            joined[-1] = (i, joined[-1][1], max(b, joined[-1][2]))
+        else:
+            joined.append((i, a, b))
+    out: dict[int, list[tuple[int, int, int]]] = {}
+    for i, a, b in joined:
+        w = 2 * width
+        while w < 2 * (b - a):
+            w *= 2
+        out.setdefault(w, []).append((i, a, b))
+    return out
+
+
+def added_spans(net: Tagger, texts: list[str], bases: list[list[tuple[int, str, int]]], at_once: int = 512) -> list[list[tuple[int, str, int]]]:
+    """The model's spans for each text, beside its base spans."""
+    places = []
+    for i, t in enumerate(texts):
+        starts = {max(0, s) for m in _hints(t) for s in ((m.start() // STRIDE - 1) * STRIDE, m.start() // STRIDE * STRIDE)}
+        places += [(i, s) for s in sorted(starts)]
+    found: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
+    cut: list[tuple[int, int, int]] = []
+
+    def take(i: int, a: int, b: int, kind: str, mean: float) -> None:
+        if b <= len(texts[i]) and mean >= MIN_MEAN and _fits(kind, texts[i][a:b]):
+            found[i].append((a, b, kind, mean * (b - a)))
+
+    for _, i, a, b, kind, mean, whole in _tagged(net, texts, places, WINDOW, at_once):
+        if whole:
+            take(i, a, b, kind, mean)
+        elif b - a >= STRIDE and _may_fit(kind, texts[i][a:b]):  # the end of a shorter stretch lies inside another window
+            cut.append((i, a, b))
+    later = _wider(cut, WINDOW)
+    while later:  # windows centred on what was cut, widened until it ends inside
+        width = min(later)
+        wanted, cut = later.pop(width), []
+        places = [(i, max(0, (a + b) // 2 - width // 2)) for i, a, b in wanted]
+        for n, i, a, b, kind, mean, whole in _tagged(net, texts, places, width, max(1, at_once * WINDOW // width)):
+            if a < wanted[n][2] and wanted[n][1] < b:
+                if whole:
+                    take(i, a, b, kind, mean)
+                elif _may_fit(kind, texts[i][a:b]):
+                    cut.append((i, a, b))
+        for w, more in _wider(cut, width).items():
+            later.setdefault(w, []).extend(more)
     out = []
     for f, base in zip(found, bases, strict=True):
         f = [x for x in f if all(x[1] <= a or b <= x[0] for a, _, b in base)] if f else f

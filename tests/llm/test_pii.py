@@ -93,3 +93,13 @@ def test_spelled_out_addresses_are_added():
     for s in ("we met at noon today", "look at example.com or", "polka dot dress code"):
         t = "the and of " * 30 + s + " and more" * 30
         assert pii.added_spans(Sure("email", s), [t], [[]]) == [[]], s
+
+
+def test_long_spans_are_kept_wherever_they_stand():
+    long = [" at ".join(["dot".join(["jo"] * n), "example dot " + "host" * n + " dot org"]) for n in (5, 10, 40)]
+    for s in long:
+        for lead in range(300, 350, 7):
+            t = "the " * (lead // 4) + "x" * (lead % 4) + " " + s + " and" * 90
+            assert pii.added_spans(Sure("email", s), [t, "no 1", t], [[], [], []]) == [[(lead + 1, "email", lead + 1 + len(s))], [], [(lead + 1, "email", lead + 1 + len(s))]]
+    t = "x " * 100 + "1" * 5000  # cannot be a card: not decoded again
+    assert pii.added_spans(Sure("card", "1" * 5000), [t], [[]]) == [[]]

@@ -328,10 +328,16 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 
 def distinct_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """docs without near duplicates: of each component the rows of its smallest doc_id, of equal rows of one doc_id one."""
+    """docs without near duplicates: of each component the rows of its smallest doc_id, of equal rows of one doc_id one; rows without a doc_id all stay."""
     found = near_duplicates(docs.select("doc_id", "text"), percent=percent)
-    gone = materialise(found.filter("doc_id <> component_id").select("doc_id").distinct(), "jaccard-gone")
-    return join_small(docs, gone, ["doc_id"], "left_anti")
+    ids = found.filter("doc_id is not null").groupBy("doc_id").agg(F.max("component_id").alias("c"), F.count("*").alias("m"))
+    marked = materialise(ids.filter("doc_id <> c OR m > 1").select("doc_id", (F.col("doc_id") != F.col("c")).alias("gone")), "jaccard-marked")
+    kept = join_small(docs, marked.filter("gone").select("doc_id"), ["doc_id"], "left_anti")
+    again = marked.filter("NOT gone").select("doc_id")
+    if not again.limit(1).count():
+        return kept
+    # Only rows of a repeated doc_id are compared with one another.
+    return join_small(kept, again, ["doc_id"], "left_anti").unionByName(join_small(kept, again, ["doc_id"], "left_semi").dropDuplicates())
 
 
 ORACLE = r"""

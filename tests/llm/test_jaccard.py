@@ -81,3 +81,10 @@ def test_components_of_long_chains(spark):
     edges = [*zip(order, order[1:]), *zip(down, down[1:]), (5000, 5001)]
     got = {r.v: r.label for r in shared.components(spark.createDataFrame(edges, "a long, b long").repartition(3)).collect()}
     assert got == {v: 0 for v in order} | {v: 1000 for v in down} | {5000: 5000, 5001: 5000}
+
+
+def test_distinct_documents_keeps_equal_rows_once(spark):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (1, "p q r s t u"), (2, "a b c d e f"), (2, "a b c d e f"), (3, None), (3, None), (4, "x y"), (None, "x"), (None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_chars", F.length("text")).repartition(3)
+    got = sorted((r.doc_id or 0, r.text or "") for r in jaccard.distinct_documents(docs).collect())
+    assert got == [(0, "x"), (0, "x"), (1, "a b c d e f"), (1, "p q r s t u"), (3, ""), (4, "x y")]

@@ -3,25 +3,26 @@
 Of every text, the bytes go that are covered by a string of `width` bytes which also starts in a document
 of a smaller doc_id. The result is exact: strings are compared by their bytes.
 
-1. Copies. Of equal texts only that of the smallest doc_id is looked into; the others are covered whole
-   where they are `width` long.
+1. Copies. Of equal texts (by SHA-256) only that of the smallest doc_id is looked into; the others are covered
+   whole where they are `width` long.
 2. Anchors. Positions whose GRAM-byte hash is smallest within some window of width - GRAM + 1 positions.
    Every string of `width` bytes holds an anchor that its bytes alone determine: its designated one. Chunks
-   of documents send their anchors' hashes, packed, to buckets that find those of two documents or more.
-3. Runs. Neighbouring starts with the same shared designated anchor form a run; runs go to the shard of
-   their anchor's hash, equal runs of a chunk once with all their places. Equal strings meet in one shard.
-   Runs of a very common anchor are cut into single strings that are dealt by their own bytes.
-4. Shards. Equal runs count once; a run whose anchor no other run has is settled. The others are laid out
-   in buffers of bounded size. Each gets a suffix array by Larsson-Sadakane
-   refinement (ranks of the first 8 bytes, doubled until `width` bytes are told apart; only groups that
-   still tie are sorted again) and common prefixes by Kasai's method, run in lockstep over strips of the
-   text. Groups of prefixes of `width` bytes or more are equal strings. A shard of several buffers merges
-   them by binary search of one buffer's distinct strings in another's.
-5. The covered intervals of a document are merged and cut out of its whole text.
+   of documents send each anchor's hash once, packed, to buckets that find those of two documents or more.
+   Anchors only deal: which text can be shared at all, and which shard it goes to.
+3. Runs. Neighbouring starts with the same shared designated anchor form a run. A chunk sends a run once, with
+   its smallest document, however many places it has; the places wait for the answer. Equal strings meet in one
+   group of shards. Runs of a very common anchor are cut into single strings that are dealt by their own bytes.
+4. Shards. The runs of a group are laid out in shards of bounded size, each with a suffix array by
+   Larsson-Sadakane refinement (ranks of the first 5 bytes, doubled until `width` bytes are told apart; only
+   groups that still tie are sorted again) and common prefixes by Kasai's method, run in lockstep over strips of
+   the text. Suffixes between common prefixes of `width` bytes or more are equal strings. Shards are merged by
+   binary search of one's distinct strings in those of the others, confirmed by their bytes.
+5. Every run hears of the strings that a smaller document elsewhere has. The covered intervals of a document
+   are merged and cut out of its whole text.
 
 Defined results: a null text is empty; texts shorter than `width` lose nothing; strings do not cross
 documents; rows of one doc_id do not remove one another and each is
-returned; rows without a doc_id neither remove nor lose anything; an empty table gives an
+returned with what it loses itself; rows without a doc_id neither remove nor lose anything; an empty table gives an
 empty result; other columns of the input are ignored.
 """
 
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -44,52 +46,66 @@ GRAM = 20
 CHUNK_ANCHORS = 1_000_000
 CHUNK_DOCS = 60_000
 BUCKET_ANCHORS = 1_000_000
-SHARD_BYTES = 4 << 20  # of run text in a shard, about
-BUFFER_BYTES = 8 << 20  # of a suffix array
-HEAVY = 4000  # chunks' documents that share an anchor from which on its runs are cut up
-PIECE_BYTES = 1 << 21
-RUN = np.dtype([("hash", "<u8"), ("at", "<u4"), ("starts", "<u4"), ("places", "<u4")])  # at: where in the run text
-PLACE = np.dtype([("doc", "<i8"), ("start", "<u4")])
+GROUP_BYTES = 4 << 20  # of run text in a group of shards, about
+SHARD_BYTES = 3 << 19  # of a suffix array
+HEAVY = 4000  # documents that share an anchor from which on its runs are cut up
+HELD_BYTES = 32 << 20  # of a chunk's runs
+PIECE_BYTES = 1 << 22  # of a long text that is looked at in one go
+MANY = 0xFFFF  # stands for several owners of one chunk
+RUN = np.dtype([("run", "<u4"), ("starts", "<u4"), ("least", "<i8")])  # what a group of shards hears of a run
+SPOT = np.dtype([("starts", "<u4"), ("places", "<u4"), ("least", "<i8")])  # what its chunk keeps
+PLACE = np.dtype([("doc", "<u4"), ("start", "<u4")])
+ANSWER = np.dtype([("run", "<u4"), ("off", "<u4"), ("n", "<u4"), ("low", "<i8")])
 
 
 # ---- suffix arrays
 
 
+def _in_order(key: np.ndarray, rows: np.ndarray, bits: int) -> np.ndarray:
+    """rows by key, of equal keys the smaller first. Sorting packed numbers is several times faster than sorting places."""
+    low = np.uint64(bits)
+    if len(key) and int(key.max()) >> (64 - bits):
+        return rows[np.lexsort((rows, key))]
+    return (np.sort((key << low) | rows.astype(np.uint64)) & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
+
+
 def suffix_array(data: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """(sa, rank): suffixes of data in order of their first `limit` bytes, zero bytes after the end; rank is equal
     for suffixes that agree in so many. Larsson-Sadakane: groups that still tie are refined by the rank `h` further."""
-    n = len(data)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    n, h = len(data), 5
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    bits = max(1, int(n).bit_length())
+    padded = np.concatenate([data, np.zeros(h, np.uint8)])
     key = np.zeros(n, np.uint64)
-    for k in range(8):
+    for k in range(h):
         key = (key << np.uint64(8)) | padded[k : k + n]
-    sa = np.argsort(key, kind="stable")
-    new = np.concatenate([[True], key[sa][1:] != key[sa][:-1]]) if n else np.zeros(0, bool)
-    head = np.maximum.accumulate(np.where(new, np.arange(n), 0)) if n else np.zeros(0, np.int64)
+    sa = _in_order(key, np.arange(n), bits)
+    new = np.concatenate([[True], key[sa][1:] != key[sa][:-1]])
+    head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank = np.empty(n, np.int64)
     rank[sa] = head
-    h = 8
-    while h < limit and n:
+    while h < limit:
         alone = np.concatenate([new[1:], [True]]) & new
         open_at = np.flatnonzero(~alone)  # places in sa of groups of two or more
         if not len(open_at):
             break
-        rows = sa[open_at]
-        ahead = rows + h
-        second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        order = np.argsort((head[open_at] << np.int64(32)) | second, kind="stable")
-        rows, second = rows[order], second[order]
         group = head[open_at]
+        ahead = sa[open_at] + h
+        second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        rows = _in_order((group.astype(np.uint64) << np.uint64(bits)) | second.astype(np.uint64), sa[open_at], bits)
         sa[open_at] = rows
-        differs = np.concatenate([[True], (group[1:] != group[:-1]) | (second[1:] != second[:-1])])
-        new[open_at] |= differs
-        head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-        rank[sa] = head
+        ahead = rows + h
+        second = np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + 1, 0)
+        new[open_at] |= np.concatenate([[True], (group[1:] != group[:-1]) | (second[1:] != second[:-1])])
+        # Groups keep their places, so only heads inside them are new.
+        head[open_at] = np.maximum.accumulate(np.where(new[open_at], open_at, 0))
+        rank[rows] = head[open_at]
         h *= 2
     return sa, rank
 
 
-def common_prefixes(data: np.ndarray, sa: np.ndarray, limit: int, strips: int = 4096) -> np.ndarray:
+def common_prefixes(data: np.ndarray, sa: np.ndarray, limit: int, strips: int = 16384) -> np.ndarray:
     """lcp[i]: length, up to limit, of the common prefix of suffixes sa[i - 1] and sa[i].
 
     Kasai: going through the text, a common prefix is at most one shorter than the one before. The text is
@@ -159,45 +175,54 @@ def designated(hashes: np.ndarray, width: int) -> np.ndarray:
     return n - 1 - (_slide(key, w, True) & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
-def _texts(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(index, bytes, hashes, designated) of each text that is long enough."""
+def _texts(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(index, base, bytes, hashes, designated) of each text that is long enough; long ones in pieces that start at
+    base and overlap so that every string of `width` bytes lies whole in the one piece that it starts in."""
     for i in range(len(offsets) - 1):
-        d = data[offsets[i] : offsets[i + 1]]
-        if len(d) >= width:
+        lo, hi = int(offsets[i]), int(offsets[i + 1])
+        for base in range(0, hi - lo - width + 1, PIECE_BYTES):
+            d = data[lo + base : min(hi, lo + base + PIECE_BYTES + width - 1)]
             h = gram_hashes(d)
-            yield i, d, h, designated(h, width)
+            yield i, base, d, h, designated(h, width)
 
 
 def _anchors(batches, bits: int, width: int) -> Iterator:
-    """(key, chunk, payload): each bucket's anchor hashes with their owners; under key -1 - chunk the documents' ids."""
+    """(key, chunk, payload): for each bucket the chunk's anchor hashes, each once, with their owner or MANY and then
+    how many; under key -1 - chunk the documents, and which of them share a hash inside the chunk."""
     import pyarrow as pa
 
     task, number = TaskContext.get().partitionId(), 0
-    ids, found, held = [], [], 0
+    ids, marks, found, held = [], [], [], 0
 
     def flush():
-        nonlocal number, ids, found, held
+        nonlocal number, ids, marks, found, held
         chunk = (task << 24) | number
         number += 1
         n = [len(s) for s in found]
         hashes, owners = np.concatenate(found), np.repeat(np.arange(len(found), dtype=np.uint16), n)
-        order = np.argsort(hashes)
-        hashes, owners = hashes[order], owners[order]
-        buckets = (hashes >> np.uint64(64 - bits)).astype(np.int64)
-        rest = ((hashes >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype("<u4")
+        short = hashes >> np.uint64(32 - bits)
+        order = np.argsort(short)
+        short, owners = short[order], owners[order]
+        first = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]])) if len(short) else np.zeros(0, np.int64)
+        many = np.diff(np.append(first, len(short)))
+        inside = np.repeat(many > 1, many)
+        own = np.where(many > 1, MANY, owners[first]).astype("<u2")
+        buckets, rest = (short[first] >> np.uint64(32)).astype(np.int64), (short[first] & np.uint64(0xFFFFFFFF)).astype("<u4")
         keys, at = np.unique(buckets, return_index=True)
-        at = [*at, len(hashes)]
-        rows = [(int(k), chunk, rest[a:b].tobytes() + owners[a:b].tobytes()) for k, a, b in zip(keys, at[:-1], at[1:], strict=True)]
-        rows.append((-1 - chunk, chunk, np.array(ids, "<i8").tobytes()))
-        ids, found, held = [], [], 0
+        at = [*at, len(first)]
+        rows = [(int(k), chunk, np.int64(b - a).tobytes() + rest[a:b].tobytes() + own[a:b].tobytes() + many[a:b][own[a:b] == MANY].astype("<u4").tobytes()) for k, a, b in zip(keys, at[:-1], at[1:], strict=True)]
+        rows.append((-1 - chunk, chunk, np.int64(len(ids)).tobytes() + np.array(ids, "<i8").tobytes() + np.array(marks, "<i8").tobytes() + short[inside].astype("<u8").tobytes() + owners[inside].astype("<u2").tobytes()))
+        ids, marks, found, held = [], [], [], 0
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["key", "chunk", "payload"])
 
     for b in batches:
-        data, offsets = bytehash.column(b.column(1))
-        names = b.column(0).to_numpy(zero_copy_only=False)
-        for i, _, h, at in _texts(data, offsets, width):
+        data, offsets = bytehash.column(b.column(2))
+        names, signs = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+        for i, parts in groupby(_texts(data, offsets, width), lambda x: x[0]):
             ids.append(names[i])
-            found.append(np.unique(h[at[np.concatenate([[True], at[1:] != at[:-1]])]]))
+            marks.append(signs[i])
+            own = np.unique(np.concatenate([h[at[np.concatenate([[True], at[1:] != at[:-1]])]] for _, _, _, h, at in parts]))
+            found.append(own[np.concatenate([[True], (own[1:] ^ own[:-1]) >> np.uint64(32 - bits) > 0])])  # once by its short form
             held += len(found[-1])
             if held >= CHUNK_ANCHORS or len(ids) >= CHUNK_DOCS:
                 yield flush()
@@ -206,20 +231,24 @@ def _anchors(batches, bits: int, width: int) -> Iterator:
 
 
 def _shared(f: pd.DataFrame) -> pd.DataFrame:
-    """A bucket: each chunk's (owner, hash) pairs whose hash another document has too; kind 2 for very common ones."""
+    """A bucket: each chunk's (owner, hash) pairs whose hash another document has too; kind 2 for very common ones.
+    What several documents of one chunk share that chunk knows itself, unless it is very common."""
     if f.key.iloc[0] < 0:
         return f[["chunk", "key", "payload"]].rename(columns={"key": "kind"})
-    rest, owner, chunk = [], [], []
+    rest, owner, times, chunk = [], [], [], []
     for n, p in enumerate(f.payload):
-        m = len(p) // 6
-        rest.append(np.frombuffer(p, "<u4", m))
-        owner.append(np.frombuffer(p, "<u2", m, 4 * m))
+        m = int(np.frombuffer(p, "<i8", 1)[0])
+        rest.append(np.frombuffer(p, "<u4", m, 8))
+        owner.append(np.frombuffer(p, "<u2", m, 8 + 4 * m))
+        k = np.ones(m, np.int64)
+        k[owner[-1] == MANY] = np.frombuffer(p, "<u4", -1, 8 + 6 * m)
+        times.append(k)
         chunk.append(np.full(m, n, np.int32))
-    rest, owner, chunk = map(np.concatenate, (rest, owner, chunk))
-    _, where, n = np.unique(rest, return_inverse=True, return_counts=True)
-    n = n[where]
+    rest, owner, times, chunk = map(np.concatenate, (rest, owner, times, chunk))
+    _, where = np.unique(rest, return_inverse=True)
+    n = np.bincount(where, weights=times)[where]
     rows = []
-    for kind, hit in ((1, (n > 1) & (n < HEAVY)), (2, n >= HEAVY)):
+    for kind, hit in ((1, (n > 1) & (n < HEAVY) & (owner != MANY)), (2, n >= HEAVY)):
         hit = np.flatnonzero(hit)
         at = np.searchsorted(chunk[hit], np.arange(len(f) + 1))
         for c, a, b in zip(f.chunk, at[:-1], at[1:], strict=True):
@@ -229,68 +258,83 @@ def _shared(f: pd.DataFrame) -> pd.DataFrame:
 
 
 def _by_document(f: pd.DataFrame) -> pd.DataFrame:
-    """A chunk: doc_id and its shared hashes, shortened to bucket and rest, packed; those of very common anchors apart."""
-    ids = np.frombuffer(next(p for k, p in zip(f.kind, f.payload, strict=True) if k < 0), "<i8")
-    owner, value, kind = [], [], []
-    for k, p in zip(f.kind, f.payload, strict=True):
+    """A chunk: doc_id, mark and the shared hashes, shortened to bucket and rest, packed; those of very common anchors apart."""
+    p = next(p for k, p in zip(f.kind, f.payload, strict=True) if k < 0)
+    n = int(np.frombuffer(p, "<i8", 1)[0])
+    ids, marks = np.frombuffer(p, "<i8", n, 8), np.frombuffer(p, "<i8", n, 8 + 8 * n)
+    m = (len(p) - 8 - 16 * n) // 10
+    owner, value = [np.frombuffer(p, "<u2", m, 8 + 16 * n + 8 * m)], [np.frombuffer(p, "<u8", m, 8 + 16 * n)]
+    common = []
+    for k, q in zip(f.kind, f.payload, strict=True):
         if k > 0:
-            m = (len(p) - 8) // 6
-            owner.append(np.frombuffer(p, "<u2", m, 8))
-            value.append((np.frombuffer(p, "<u8", 1)[0] << np.uint64(32)) | np.frombuffer(p, "<u4", m, 8 + 2 * m).astype(np.uint64))
-            kind.append(np.full(m, k, np.uint8))
-    if not owner:
-        return pd.DataFrame({"doc_id": [], "light": [], "heavy": []})
-    owner, value, kind = map(np.concatenate, (owner, value, kind))
+            m = (len(q) - 8) // 6
+            own = np.frombuffer(q, "<u2", m, 8)
+            v = (np.frombuffer(q, "<u8", 1)[0] << np.uint64(32)) | np.frombuffer(q, "<u4", m, 8 + 2 * m).astype(np.uint64)
+            owner.append(own[own != MANY])
+            value.append(v[own != MANY])
+            if k == 2:
+                common.append(v)
+    owner, value = np.concatenate(owner), np.concatenate(value)
+    is_common = np.isin(value, np.concatenate(common)) if common else np.zeros(len(value), bool)
     order = np.argsort(owner, kind="stable")
-    owner, value, kind = owner[order], value[order], kind[order]
+    owner, value, is_common = owner[order], value[order], is_common[order]
     docs, at = np.unique(owner, return_index=True)
     rows = []
-    for d, a, b in zip(docs, at, [*at[1:], len(owner)], strict=True):
-        v, k = value[a:b], kind[a:b]
-        rows.append((ids[d], np.sort(v[k == 1]).tobytes(), np.sort(v[k == 2]).tobytes()))
-    return pd.DataFrame(rows, columns=["doc_id", "light", "heavy"])
+    for d, a, b in zip(docs, at, np.append(at[1:], len(owner))[: len(docs)], strict=True):
+        v, k = value[a:b], is_common[a:b]
+        rows.append((ids[d], marks[d], np.sort(v[~k]).tobytes(), np.sort(v[k]).tobytes()))
+    return pd.DataFrame(rows, columns=["doc_id", "mark", "light", "heavy"])
 
 
 # ---- runs
 
 
-def _runs(batches, bits: int, shards: int, width: int) -> Iterator:
-    """(shard, payload): a chunk's runs for each shard; a payload is RUN count, RUNs, PLACEs, run text."""
+def _runs(batches, bits: int, groups: int, width: int) -> Iterator:
+    """(key, chunk, payload): a chunk's runs for each group of shards; under key -1 - chunk where they stand."""
     import pyarrow as pa
 
-    runs: dict[int, dict[tuple[int, bytes], list[tuple[int, int]]]] = {}
+    task, number = TaskContext.get().partitionId(), 0
+    runs: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
+    docs: list[tuple[int, int]] = []
     held = 0
 
     def flush():
-        nonlocal runs, held
-        rows = []
-        for shard, items in runs.items():
-            table, places, text, at = np.zeros(len(items), RUN), [], [], 0
-            for i, ((h, t), p) in enumerate(items.items()):
-                table[i] = h, at, len(t) - width + 1, len(p)
-                text.append(t)
+        nonlocal number, runs, docs, held
+        chunk = (task << 24) | number
+        number += 1
+        rows, spots, places, n = [], [], [], 0
+        for group, items in runs.items():
+            table = np.zeros(len(items), RUN)
+            for i, (t, p) in enumerate(items.items()):
+                least = min(docs[d][0] for d, _ in p)
+                table[i] = n, len(t) - width + 1, least
+                spots.append((len(t) - width + 1, len(p), least))
                 places += p
-                at += len(t)
-            rows.append((shard, np.int64(len(items)).tobytes() + table.tobytes() + np.array(places, PLACE).tobytes() + b"".join(text)))
-        runs, held = {}, 0
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "payload"])
+                n += 1
+            rows.append((group, chunk, np.int64(len(items)).tobytes() + table.tobytes() + b"".join(items)))
+        names = np.array(docs, "<i8").reshape(-1, 2)
+        rows.append((-1 - chunk, chunk, np.array([len(names), n], "<i8").tobytes() + names.tobytes() + np.array(spots, SPOT).tobytes() + np.array(places, PLACE).tobytes()))
+        runs, docs, held = {}, [], 0
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["key", "chunk", "payload"])
 
-    def put(shard: int, h: int, t: bytes, doc: int, start: int):
+    def put(group: int, t: bytes, start: int):
         nonlocal held
-        where = runs.setdefault(shard, {})
-        places = where.get((h, t))
+        where = runs.setdefault(group, {})
+        places = where.get(t)
         if places is None:
-            where[h, t] = [(doc, start)]
+            where[t] = [(len(docs) - 1, start)]
             held += len(t) + 150
         else:
-            places.append((doc, start))
+            places.append((len(docs) - 1, start))
             held += 60
 
     for b in batches:
-        data, offsets = bytehash.column(b.column(1))
-        names = b.column(0).to_numpy(zero_copy_only=False)
-        light, heavy = b.column(2), b.column(3)
-        for i, d, h, at in _texts(data, offsets, width):
+        data, offsets = bytehash.column(b.column(2))
+        names, signs = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+        light, heavy = b.column(3), b.column(4)
+        for i, base, d, h, at in _texts(data, offsets, width):
+            if base == 0 or not docs:  # the chunk may have been cut between two pieces
+                docs.append((int(names[i]), int(signs[i])))
             cut = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
             ends = np.append(cut[1:], len(at))
             hashes = h[at[cut]]
@@ -298,47 +342,41 @@ def _runs(batches, bits: int, shards: int, width: int) -> Iterator:
             common = np.frombuffer(heavy[i].as_py(), "<u8")
             is_heavy = np.isin(short, common) if len(common) else np.zeros(len(short), bool)
             hit = np.flatnonzero(is_heavy | np.isin(short, np.frombuffer(light[i].as_py(), "<u8")))
-            whole, doc = d.tobytes(), int(names[i])
-            shard = (bytehash.mix(hashes[hit]) % np.uint64(shards)).tolist()
-            for s, hh, many, lo, hi in zip(shard, hashes[hit].tolist(), is_heavy[hit].tolist(), cut[hit].tolist(), ends[hit].tolist(), strict=True):
+            whole = d.tobytes()
+            group = (bytehash.mix(hashes[hit]) % np.uint64(groups)).tolist()
+            for g, many, lo, hi in zip(group, is_heavy[hit].tolist(), cut[hit].tolist(), ends[hit].tolist(), strict=True):
                 if many:
                     for k in range(lo, hi):
                         t = whole[k : k + width]
-                        put(int.from_bytes(hashlib.blake2b(t, digest_size=7).digest(), "big") % shards, hh, t, doc, k)
+                        put(int.from_bytes(hashlib.blake2b(t, digest_size=7).digest(), "big") % groups, t, base + k)
                 else:
-                    put(s, hh, whole[lo : hi - 1 + width], doc, lo)
-            if held > 48 << 20:
+                    put(g, whole[lo : hi - 1 + width], base + lo)
+            if held > HELD_BYTES:
                 yield flush()
-    if runs:
+    if docs:
         yield flush()
 
 
-def _distinct(text: np.ndarray, run_at: np.ndarray, starts: np.ndarray, least: np.ndarray, width: int):
-    """Strings of one buffer. For each start of each run: its group, and each group's smallest document and a place."""
+def _distinct(text: np.ndarray, starts: np.ndarray, least: np.ndarray, width: int):
+    """Strings of one shard, whose runs lie end to end. For each start of each run: its string's number; each string's
+    smallest document and a place."""
     sa, _ = suffix_array(text, width)
     lcp = common_prefixes(text, sa, width)
-    first = np.repeat(run_at - np.concatenate([[0], np.cumsum(starts)[:-1]]), starts)
-    valid = first + np.arange(starts.sum())  # places of all strings
+    size = starts + width - 1
+    valid = _positions(np.cumsum(size) - size, starts)  # places of all strings
     is_start = np.zeros(len(text), bool)
     is_start[valid] = True
-    group_of_suffix = np.cumsum(lcp < width) - 1
+    string_of_suffix = np.cumsum(lcp < width) - 1
     kept = is_start[sa]
-    place, group = sa[kept], group_of_suffix[kept]
-    _, group = np.unique(group, return_inverse=True)
+    place, string = sa[kept], string_of_suffix[kept]
+    string = np.cumsum(np.concatenate([[0], string[1:] != string[:-1]]))  # numbered without those that only others hold
     owner = np.zeros(len(text), np.int64)
     owner[valid] = np.repeat(least, starts)
-    n = int(group.max()) + 1 if len(group) else 0
-    smallest = np.full(n, np.iinfo(np.int64).max)
-    np.minimum.at(smallest, group, owner[place])
-    example = np.zeros(n, np.int64)
-    example[group] = place
+    first = np.flatnonzero(np.concatenate([[True], string[1:] != string[:-1]]))
+    smallest = np.minimum.reduceat(owner[place], first)
     of = np.zeros(len(text), np.int64)
-    of[place] = group
-    return of[valid], smallest, example
-
-
-def _strings(text: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, width)[at]).view(f"S{width}").ravel() if len(at) else np.empty(0, f"S{width}")
+    of[place] = string
+    return of[valid], smallest, place[first]
 
 
 def _positions(at: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -346,134 +384,140 @@ def _positions(at: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
-def _same_runs(text: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """For each run the first run of the same bytes; equal hashes are confirmed byte by byte."""
-    marks = bytehash.spans(bytehash.prefix(text), at, at + size) if len(at) else np.empty(0, np.uint64)
-    _, first, which = np.unique(np.stack([marks, size.astype(np.uint64)], 1), axis=0, return_index=True, return_inverse=True)
-    first = first[which.ravel()]
-    out = np.arange(len(at))
-    twice = np.flatnonzero(first != out)
-    for lo in range(0, len(twice), 20_000):
-        rows = twice[lo : lo + 20_000]
-        n = size[rows]
-        equal = text[_positions(at[rows], n)] == text[_positions(at[first[rows]], n)]
-        same = np.logical_and.reduceat(equal, np.cumsum(n) - n)
-        out[rows[same]] = first[rows[same]]
-    return out
-
-
-def _smallest_by_string(text: np.ndarray, at: np.ndarray, starts: np.ndarray, least: np.ndarray, width: int) -> np.ndarray:
-    """For every string of every run the smallest document of all runs that hold it, end to end. Runs are laid out in
-    buffers of bounded size, each with its suffix array; buffers are merged by binary search."""
+def _search(hashes: np.ndarray, at: np.ndarray, known: np.ndarray, known_at: np.ndarray, text: np.ndarray, width: int) -> np.ndarray:
+    """For each string its place among the known ones, which are in order of their hashes, else -1: binary search, confirmed by the bytes."""
+    strings = np.lib.stride_tricks.sliding_window_view(text, width)
+    found = np.full(len(hashes), -1)
+    near = np.searchsorted(known, hashes)
+    for lo in range(0, len(hashes), 100_000):
+        todo = np.arange(lo, min(lo + 100_000, len(hashes)))
+        while len(todo):
+            todo = todo[near[todo] < len(known)]
+            todo = todo[known[near[todo]] == hashes[todo]]
+            same = (strings[known_at[near[todo]]] == strings[at[todo]]).all(axis=1)
+            found[todo[same]] = near[todo[same]]
+            todo = todo[~same]
+            near[todo] += 1
+    return found
+
+
+def smallest_by_string(text: np.ndarray, starts: np.ndarray, least: np.ndarray, width: int) -> np.ndarray:
+    """For every string of every run the smallest document of all runs that hold it, end to end; runs lie end to end in
+    text. Shards of bounded size get a suffix array each and are merged by binary search."""
     size = starts + width - 1
-    cuts, held = [0], 0
-    for i, n in enumerate(size.tolist()):
-        if held and held + n > BUFFER_BYTES:
-            cuts.append(i)
-            held = 0
-        held += n
-    cuts.append(len(size))
+    ends = np.cumsum(size)
+    cuts = [0]
+    while cuts[-1] < len(size):
+        lo = cuts[-1]
+        cuts.append(max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SHARD_BYTES, side="right"))))
     made = []
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-        if hi > lo:
-            n = size[lo:hi]
-            own = text[_positions(at[lo:hi], n)]
-            made.append((*_distinct(own, np.cumsum(n) - n, starts[lo:hi], least[lo:hi], width), own))
-    if len(made) > 1:
-        ordered = []
-        for _, _, example, own in made:
-            s = _strings(own, example, width)
-            order = np.argsort(s)
-            ordered.append((s[order], order))
-        alone = [m[1].copy() for m in made]
-        for x, (sx, ox) in enumerate(ordered):
-            for y, (sy, oy) in enumerate(ordered):
-                if x != y and len(sy):
-                    near = np.minimum(np.searchsorted(sy, sx), len(sy) - 1)
-                    hit = sy[near] == sx
-                    made[x][1][ox[hit]] = np.minimum(made[x][1][ox[hit]], alone[y][oy[near[hit]]])
-    return np.concatenate([m[1][m[0]] for m in made]) if made else np.empty(0, np.int64)
-
-
-def shard_intervals(payloads: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc, lo, hi): intervals of documents covered by strings that a smaller document of the shard has too.
-
-    Equal runs count once. A run whose anchor no other run of the shard has needs no suffix array: its
-    strings are in its own documents alone. The other runs, at the edges of what is shared, get one."""
-    tables, places, texts = [], [], []
+        base = int(ends[lo] - size[lo])
+        of, smallest, example = _distinct(text[base : ends[hi - 1]], starts[lo:hi], least[lo:hi], width)
+        made.append((of, smallest, example + base))
+    if len(made) < 2:
+        return made[0][1][made[0][0]] if made else np.empty(0, np.int64)
+    sums = bytehash.prefix(text)
+    known, known_at, low = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    marks = [bytehash.spans(sums, example, example + width) for _, _, example in made]
+    for (_, smallest, example), h in zip(made, marks, strict=True):
+        where = _search(h, example, known, known_at, text, width)
+        hit = where >= 0
+        low[where[hit]] = np.minimum(low[where[hit]], smallest[hit])
+        all_h = np.concatenate([known, h[~hit]])
+        order = np.argsort(all_h, kind="stable")
+        known, known_at, low = all_h[order], np.concatenate([known_at, example[~hit]])[order], np.concatenate([low, smallest[~hit]])[order]
+    return np.concatenate([low[_search(h, example, known, known_at, text, width)][of] for (of, _, example), h in zip(made, marks, strict=True)])
+
+
+def answers(payloads: list[bytes], width: int) -> list[np.ndarray]:
+    """For each payload the stretches of its runs (ANSWER) that a smaller document than the run's own least has too."""
+    tables, texts = [], []
     for p in payloads:
         m = int(np.frombuffer(p, "<i8", 1)[0])
-        t = np.frombuffer(p, RUN, m, 8)
-        at = 8 + m * RUN.itemsize
-        k = int(t["places"].sum())
-        tables.append(t)
-        places.append(np.frombuffer(p, PLACE, k, at))
-        texts.append(np.frombuffer(p, np.uint8, -1, at + k * PLACE.itemsize))
-    base = np.cumsum([0, *map(len, texts)])
-    run_at = np.concatenate([t["at"].astype(np.int64) + b for t, b in zip(tables, base[:-1], strict=True)])
-    table, place, text = np.concatenate(tables), np.concatenate(places), np.concatenate(texts)
-    del tables, places, texts
-    starts, many = table["starts"].astype(np.int64), table["places"].astype(np.int64)
-    least = np.minimum.reduceat(place["doc"], np.cumsum(many) - many)
-    kept, which = np.unique(_same_runs(text, run_at, starts + width - 1), return_inverse=True)
-    smallest = np.full(len(kept), np.iinfo(np.int64).max)
-    np.minimum.at(smallest, which, least)
-    _, group, size = np.unique(table["hash"][kept], return_inverse=True, return_counts=True)
-    mixed = np.flatnonzero(size[group] > 1)
-    own = starts[kept]
-    low = np.repeat(smallest, own)  # of each string of each kept run
-    first = np.cumsum(own) - own
-    if len(mixed):
-        low[_positions(first[mixed], own[mixed])] = _smallest_by_string(text, run_at[kept[mixed]], own[mixed], smallest[mixed], width)
-    # Every place of every run: its strings whose smallest document is smaller than the place's.
-    run = np.repeat(np.arange(len(starts)), many)
-    docs, los, his = [], [], []
-    for a in range(0, len(run), 200_000):
-        r, p = run[a : a + 200_000], place[a : a + 200_000]
-        n = starts[r]
-        doc = np.repeat(p["doc"], n)
-        start = _positions(p["start"].astype(np.int64), n)
-        hit = low[_positions(first[which[r]], n)] < doc
-        doc, start = doc[hit], start[hit]
-        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1)]) if len(doc) else np.zeros(0, bool)
-        head = np.flatnonzero(new)
-        tail = np.append(head[1:], len(doc)) - 1
-        docs.append(doc[head])
-        los.append(start[head])
-        his.append(start[tail] + width if len(head) else start[head])
-    return np.concatenate(docs), np.concatenate(los), np.concatenate(his)
-
-
-def _shard(f: pd.DataFrame, width: int) -> pd.DataFrame:
-    doc, lo, hi = shard_intervals(list(f.payload), width)
-    return pd.DataFrame({"doc_id": doc, "lo": lo, "hi": hi})
+        tables.append(np.frombuffer(p, RUN, m, 8))
+        texts.append(np.frombuffer(p, np.uint8, -1, 8 + m * RUN.itemsize))
+    table, text = np.concatenate(tables), np.concatenate(texts)
+    starts, least = table["starts"].astype(np.int64), table["least"]
+    low = smallest_by_string(text, starts, least, width)
+    run = np.repeat(np.arange(len(starts)), starts)
+    hit = np.flatnonzero(low < least[run])
+    run, off, low = run[hit], (hit - (np.cumsum(starts) - starts)[run[hit]]), low[hit]
+    head = np.flatnonzero(np.concatenate([[True], (run[1:] != run[:-1]) | (off[1:] != off[:-1] + 1) | (low[1:] != low[:-1])])) if len(hit) else hit
+    out = np.zeros(len(head), ANSWER)
+    out["run"], out["off"], out["n"], out["low"] = table["run"][run[head]], off[head], np.diff(np.append(head, len(run))), low[head]
+    return np.split(out, np.searchsorted(run[head], np.cumsum([len(t) for t in tables])[:-1]))
+
+
+def _group(f: pd.DataFrame, width: int) -> pd.DataFrame:
+    if f.key.iloc[0] < 0:
+        return f[["chunk", "key", "payload"]].rename(columns={"key": "kind"})
+    found = answers(list(f.payload), width)
+    return pd.DataFrame([(c, 1, a.tobytes()) for c, a in zip(f.chunk, found, strict=True) if len(a)], columns=["chunk", "kind", "payload"])
+
+
+def intervals_of(places: bytes, told: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(docs, lo, hi): the covered intervals of a chunk's documents, merged; docs: doc_id and mark of each."""
+    n_docs, n_runs = np.frombuffer(places, "<i8", 2)
+    names = np.frombuffer(places, "<i8", 2 * n_docs, 16).reshape(-1, 2)
+    spots = np.frombuffer(places, SPOT, n_runs, 16 + 16 * n_docs)
+    place = np.frombuffer(places, PLACE, -1, 16 + 16 * n_docs + SPOT.itemsize * n_runs)
+    told = np.concatenate([np.frombuffer(t, ANSWER) for t in told]) if told else np.zeros(0, ANSWER)
+    told = told[np.argsort(told["run"], kind="stable")]
+    run = np.repeat(np.arange(n_runs), spots["places"])
+    doc, start = place["doc"].astype(np.int64), place["start"].astype(np.int64)
+    later = names[doc, 0] > spots["least"][run]  # the chunk itself has a smaller document with the whole run
+    d, lo, hi = [doc[later]], [start[later]], [start[later] + spots["starts"][run[later]] + width - 1]
+    first = np.flatnonzero(~later)  # places in the run's least document: covered where the answers say so
+    a, b = np.searchsorted(told["run"], run[first]), np.searchsorted(told["run"], run[first], side="right")
+    which, at = np.repeat(first, b - a), _positions(a, b - a)
+    d.append(doc[which])
+    lo.append(start[which] + told["off"][at])
+    hi.append(lo[-1] + told["n"][at] + width - 1)
+    d, lo, hi = map(np.concatenate, (d, lo, hi))
+    order = np.lexsort((lo, d))
+    d, lo, hi = d[order], lo[order], hi[order]
+    if not len(d):
+        return names[:0], lo, hi
+    line = d << np.int64(32)  # all documents on one line: the furthest end so far, never from another document
+    far = np.maximum.accumulate(line | hi)
+    head = np.flatnonzero(np.concatenate([[True], (line[1:] | lo[1:]) > far[:-1]]))
+    return names[d[head]], lo[head], far[np.append(head[1:], len(d)) - 1] & 0xFFFFFFFF
+
+
+def _covered_of_chunk(f: pd.DataFrame, width: int) -> pd.DataFrame:
+    places = next(p for k, p in zip(f.kind, f.payload, strict=True) if k < 0)
+    names, lo, hi = intervals_of(places, [p for k, p in zip(f.kind, f.payload, strict=True) if k > 0], width)
+    return pd.DataFrame({"doc_id": names[:, 0], "mark": names[:, 1], "lo": lo, "hi": hi})
 
 
 def covered(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(d, copies, intervals): the texts as bytes; doc_id of texts that equal a smaller document's; doc_id, lo, hi otherwise."""
+    """(d, copies, intervals): the texts as bytes; doc_id and mark of texts that equal a smaller document's; doc_id, mark,
+    lo, hi otherwise. A mark, a hash of the text, tells rows of one doc_id apart."""
     spark = docs.sparkSession
     d = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
     named = d.filter("doc_id is not null")
-    marks = materialise(named.select("doc_id", F.md5("text").alias("mark"), F.length("text").cast("long").alias("n")), "substr-marks")
-    least = marks.filter(F.col("n") >= width).groupBy("mark").agg(F.min("doc_id").alias("first"), F.count("*").alias("m")).filter("m > 1").select("mark", "first")
-    # By doc_id and text: another row of the same doc_id may be no copy.
-    copies = materialise(marks.join(least, "mark").filter(F.col("doc_id") > F.col("first")).select("doc_id", "mark").distinct(), "substr-copies")
+    marks = materialise(named.select("doc_id", F.xxhash64("text").alias("mark"), F.unhex(F.sha2("text", 256)).alias("sha"), F.length("text").cast("long").alias("n")), "substr-marks")
+    least = marks.filter(F.col("n") >= width).groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("m")).filter("m > 1").select("sha", "first")
+    # By doc_id and text: another row of the same doc_id may be no copy. No row is needed together with others after the join, so a hot text can be split.
+    copies = materialise(marks.select("doc_id", "mark", "sha").distinct().join(least, "sha").filter(F.col("doc_id") > F.col("first")).select("doc_id", "mark"), "substr-copies")
     total = marks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = max(4, int(np.ceil(np.log2(max(1, total / 15 / BUCKET_ANCHORS)))))
-    shards = max(8, int(total // SHARD_BYTES))
-    own = join_small(named.withColumn("mark", F.md5("text")), copies, ["doc_id", "mark"], "left_anti").select("doc_id", "text")
+    groups = max(8, int(total // GROUP_BYTES))
+    own = join_small(named.select("doc_id", F.xxhash64("text").alias("mark"), "text"), copies, ["doc_id", "mark"], "left_anti")
     packed = own.mapInArrow(lambda b: _anchors(b, bits, width), "key long, chunk long, payload binary")
     shared = packed.groupBy("key").applyInPandas(_shared, "chunk long, kind long, payload binary")
-    shared = materialise(shared.groupBy("chunk").applyInPandas(_by_document, "doc_id long, light binary, heavy binary"), "substr-shared")
+    shared = materialise(shared.groupBy("chunk").applyInPandas(_by_document, "doc_id long, mark long, light binary, heavy binary"), "substr-shared")
     del packed
     release(spark)
-    # Rows of one doc_id: each row is looked into with the hashes of all of them.
-    shared = shared.groupBy("doc_id").agg(F.array_join(F.collect_list(F.hex("light")), "").alias("l"), F.array_join(F.collect_list(F.hex("heavy")), "").alias("h")).select("doc_id", F.unhex("l").alias("light"), F.unhex("h").alias("heavy"))
-    own = join_small(own, materialise(shared.select("doc_id"), "substr-ids"), ["doc_id"], "left_semi")
-    runs = own.join(shared, "doc_id").select("doc_id", "text", "light", "heavy").mapInArrow(lambda b: _runs(b, bits, shards, width), "shard long, payload binary")
-    found = runs.groupBy("shard").applyInPandas(lambda f: _shard(f, width), "doc_id long, lo long, hi long")
-    intervals = materialise(found, "substr-intervals")
-    del runs, found, own, shared
+    shared = shared.dropDuplicates(["doc_id", "mark"])  # equal rows of one doc_id share all they have
+    own = join_small(own, materialise(shared.select("doc_id", "mark"), "substr-ids"), ["doc_id", "mark"], "left_semi")
+    # In a fixed order: a task that is run again cuts the same chunks.
+    own = own.join(shared, ["doc_id", "mark"]).select("doc_id", "mark", "text", "light", "heavy").sortWithinPartitions("doc_id", "mark")
+    runs = own.mapInArrow(lambda b: _runs(b, bits, groups, width), "key long, chunk long, payload binary")
+    told = runs.groupBy("key").applyInPandas(lambda f: _group(f, width), "chunk long, kind long, payload binary")
+    intervals = materialise(told.groupBy("chunk").applyInPandas(lambda f: _covered_of_chunk(f, width), "doc_id long, mark long, lo long, hi long"), "substr-intervals")
+    del runs, told, own, shared
     release(spark)
     return d, copies, intervals
 
@@ -501,17 +545,17 @@ def _cut(text: bytes, spans: list | None) -> tuple[bytes, int, int]:
 
 def _with_spans(docs: DataFrame, **options) -> DataFrame:
     """doc_id, text (bytes), copy (whole text goes), spans."""
-    width = options.get("width", WIDTH)
     d, copies, intervals = covered(docs, **options)
-    per = materialise(intervals.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "substr-spans")
-    d = d.withColumn("mark", F.when(F.length("text") >= width, F.md5("text")))
-    d = join_small(d, copies.withColumn("copy", F.lit(True)), ["doc_id", "mark"], "left")
-    ids = per.select("doc_id")
+    on = ["doc_id", "mark"]
+    per = materialise(intervals.groupBy(*on).agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "substr-spans")
+    d = d.withColumn("mark", F.xxhash64("text"))
+    d = join_small(d, copies.withColumn("copy", F.lit(True)), on, "left")
+    ids = per.select(*on)
     if is_small(ids):  # texts that lose nothing need no shuffle
         ids = F.broadcast(ids)
-        found = d.join(ids, "doc_id", "left_semi").join(per, "doc_id").unionByName(d.join(ids, "doc_id", "left_anti"), allowMissingColumns=True)
+        found = d.join(ids, on, "left_semi").join(per, on).unionByName(d.join(ids, on, "left_anti"), allowMissingColumns=True)
     else:
-        found = d.join(per, "doc_id", "left")
+        found = d.join(per, on, "left")
     return found.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "spans")
 
 
@@ -530,5 +574,3 @@ def removal(docs: DataFrame, **options) -> DataFrame:
     # As strings, ids with nulls among them do not become floats on their way through pandas.
     d = _with_spans(docs, **options).withColumn("doc_id", F.col("doc_id").cast("string"))
     return d.mapInPandas(rows, RESULT).withColumn("doc_id", F.col("doc_id").cast("long"))
-
-

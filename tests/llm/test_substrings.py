@@ -2,7 +2,6 @@ import hashlib
 import random
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from sheetwise.llm import substrings
@@ -59,30 +58,46 @@ def sample_rows(seed):
     return rows
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_equal_to_brute_force(spark, monkeypatch, small):
-    if small:  # several buffers a shard; workers read these limits where they are pickled, so call the shard here
-        rows = sample_rows(4)
-        monkeypatch.setattr(substrings, "BUFFER_BYTES", 300)
-        places = {}
-        width, payloads = 50, []
-        for d, t in rows:
-            b = (t or "").encode()
-            if len(b) >= width:
-                table = np.array([(0, 0, len(b) - width + 1, 1)], substrings.RUN)
-                payloads.append(np.int64(1).tobytes() + table.tobytes() + np.array([(d, 0)], substrings.PLACE).tobytes() + b)
-        for d, lo, hi in zip(*substrings.shard_intervals(payloads, width)):
+def test_shards_merged_by_binary_search(monkeypatch):
+    """Several suffix arrays a group, several chunks; workers read limits where they are pickled, so call the parts here."""
+    monkeypatch.setattr(substrings, "SHARD_BYTES", 300)
+    rows, width = sample_rows(4), 50
+    payloads, kept = [], []
+    for n in range(0, len(rows), 7):  # chunks of seven documents, each text a run
+        chunk = [(d, (t or "").encode()) for d, t in rows[n : n + 7]]
+        runs = [(i, d, b) for i, (d, b) in enumerate(chunk) if len(b) >= width]
+        table = np.array([(k, len(b) - width + 1, d) for k, (_, d, b) in enumerate(runs)], substrings.RUN)
+        payloads.append(np.int64(len(runs)).tobytes() + table.tobytes() + b"".join(b for _, _, b in runs))
+        spots = np.array([(len(b) - width + 1, 1, d) for _, d, b in runs], substrings.SPOT)
+        kept.append(np.array([len(chunk), len(runs)], "<i8").tobytes() + np.array([(d, 0) for d, _ in chunk], "<i8").tobytes() + spots.tobytes() + np.array([(i, 0) for i, _, _ in runs], substrings.PLACE).tobytes())
+    places = {}
+    for p, told in zip(kept, substrings.answers(payloads, width)):
+        for (d, _), lo, hi in zip(*substrings.intervals_of(p, [told.tobytes()], width)):
             places.setdefault(d, []).append({"lo": lo, "hi": hi})
-        got = []
-        for d, t in rows:
-            kept, gone, n = substrings._cut((t or "").encode(), places.get(d))
-            got.append((d, len((t or "").encode()), gone, n, hashlib.sha256(kept).hexdigest()))
-        assert sorted(got) == brute(rows)
-        return
+    got = []
+    for d, t in rows:
+        left, gone, n = substrings._cut((t or "").encode(), places.get(d))
+        got.append((d, len((t or "").encode()), gone, n, hashlib.sha256(left).hexdigest()))
+    assert sorted(got) == brute(rows)
+
+
+def test_long_texts_are_looked_at_in_pieces(monkeypatch):
+    rng = random.Random(8)
+    data = np.frombuffer("".join(rng.choices("abc ", k=5000)).encode(), np.uint8)
+    whole = [at for _, _, _, _, at in substrings._texts(data, np.array([0, 5000]), 50)]
+    monkeypatch.setattr(substrings, "PIECE_BYTES", 333)
+    cut = [base + at for _, base, _, _, at in substrings._texts(data, np.array([0, 5000]), 50)]
+    assert len(cut) > 10 and (np.concatenate(cut) == whole[0]).all()
+
+
+def test_equal_to_brute_force(spark):
     rows = sample_rows(3) + [(200, "one row " * 20), (200, "two rows " * 20), (201, "two rows " * 20), (202, "one row " * 20)]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("mark", F.lit(1)).withColumn("spans", F.lit(2)).repartition(3)
     got = sorted(tuple(r) for r in substrings.removal(df).collect())
     assert got == brute(rows)
+    # Rows of one doc_id lose what they lose themselves.
+    again = [(1, "first text of all " * 9), (5, "first text of all " * 9 + "x"), (5, "y" * 70 + "first text of all " * 5), (5, "y" * 70 + "first text of all " * 5)]
+    assert sorted(tuple(r) for r in substrings.removal(spark.createDataFrame(again, "doc_id long, text string")).collect()) == brute(again)
     nameless = spark.createDataFrame([(None, "a b " * 30), (None, "a b " * 30), (1, "a b " * 30)], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.n_bytes, r.n_removed) for r in substrings.removal(nameless).collect()) == [(0, 120, 0), (0, 120, 0), (1, 120, 0)]
     assert substrings.removal(df.limit(0)).count() == 0

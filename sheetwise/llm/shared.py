@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import time
 import uuid
@@ -17,10 +18,13 @@ _OWN_DIR: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a local one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local folder will do for a
+    session in one process; on a cluster it would lose data, so there it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="sheetwise-"))
     return _OWN_DIR[0]
@@ -63,13 +67,18 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], value: str,
     return df.join(sums, cond).withColumn(out, F.col("_in") + F.col("_base")).drop(b, "_in", "_base", "_kb", *(f"_k{i}" for i in range(len(keys))))
 
 
-#: Rows of a table that may be broadcast: 16 bytes a row, so 16 MB at most.
-BROADCAST_ROWS = 1_000_000
+#: Bytes that a broadcast table may have on its way to every executor.
+BROADCAST_BYTES = 32 << 20
 
 
-def is_small(ids: DataFrame) -> bool:
-    """Whether a materialised table of ids is counted to be within BROADCAST_ROWS."""
-    return ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+def is_small(table: DataFrame) -> bool:
+    """Whether a materialised table is counted to be within BROADCAST_BYTES: 32 bytes a row of a hashed relation and 16
+    for each column, besides what strings and binaries hold."""
+    wide = [F.coalesce(F.length(c).cast("long"), F.lit(0)) for c, kind in table.dtypes if kind in ("string", "binary")]
+    row = 32 + 16 * len(table.columns)
+    most = BROADCAST_BYTES // row + 1
+    n, held = table.limit(most).agg(F.count("*"), F.coalesce(F.sum(sum(wide, F.lit(0))), F.lit(0))).first()
+    return n < most and n * row + held <= BROADCAST_BYTES
 
 
 def join_small(big: DataFrame, small: DataFrame, on: list[str], how: str) -> DataFrame:

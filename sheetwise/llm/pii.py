@@ -321,7 +321,10 @@ def labelled_windows(docs: DataFrame, text: str = "text", sample_rows: int = SAM
                     out.append((t[lo : lo + WINDOW], [s[0] - lo for s in inside], [s[1] for s in inside], [min(s[2], lo + WINDOW) - lo for s in inside]))
             yield pd.DataFrame(out, columns=["t", "a", "k", "b"])
 
-    some = docs.select(F.col(text).alias("t")).filter(F.col("t").rlike("[0-9@]")).orderBy(F.xxhash64("t")).limit(sample_rows)
+    held = docs.select(F.col(text).alias("t")).filter(F.col("t").rlike("[0-9@]")).withColumn("h", F.xxhash64("t"))
+    # The texts of the smallest hashes: only hashes are sorted, and equal texts count once.
+    last = held.select("h").distinct().orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
+    some = held.filter(F.col("h") <= F.lit(last).cast("long")).dropDuplicates(["h"]).select("t")
     rows = some.mapInPandas(cut, "t string, a array<long>, k array<string>, b array<long>").toPandas()
     rows = rows.sort_values("t")
     return [(t, list(zip(map(int, a), k, map(int, b), strict=True))) for t, a, k, b in zip(rows.t, rows.a, rows.k, rows.b, strict=True)]

@@ -4,9 +4,10 @@ A document's tokens are the 64-bit hashes of its distinct five-word shingles. Tw
 their Jaccard similarity reaches the threshold; the result is one row per document with its component.
 
 1. Sieve. A linked document shares at least threshold * n of its tokens with other documents. Chunks of
-   documents send their tokens, packed and dealt by hash, to buckets that find those of two documents or
-   more; only counts per document come back. Documents below the bound are alone. Documents with the
-   same set of tokens count as one from here on.
+   documents send each of their tokens once, packed and dealt by hash, to buckets that find those of two
+   documents or more (what documents of one chunk share the chunk knows itself); only counts per document
+   come back. Documents below the bound are alone. Documents with the same set of tokens count as one from
+   here on.
 2. Prefixes. Tokens are ordered by the number of documents that have them. The prefix of a document of n
    tokens holds its first n - ceil(threshold * n) + 1; linked documents share a token of their prefixes,
    and with prefixes extended by one, two tokens. Tokens of one document only come first and need no index.
@@ -15,7 +16,8 @@ their Jaccard similarity reaches the threshold; the result is one row per docume
    two where documents are short enough (COMBINE tokens) for that to stay small; longer documents' frequent
    tokens are indexed singly; documents near the limit are in both, so no linked pair falls between.
 3. Families. Documents that meet in frequent buckets form families. No pairs of a family are written
-   out. Its members are dealt into blocks; each block is compared with a few pivots of the family, and
+   out. Its members are dealt into blocks by size class, so wide that linked documents are at most one class
+   apart; each block is compared with a few pivots of its own and the next classes, and
    then only members that are not yet connected to one another, in blocks, by counting common tokens.
 4. Components of all verified links.
 
@@ -29,6 +31,7 @@ the input are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +51,7 @@ BLOCK = 512
 PIVOTS = 8
 CHUNK_TOKENS = 1_000_000
 CHUNK_DOCS = 60_000
+MANY = 0xFFFF  # stands for several owners of one chunk
 BUCKET_TOKENS = 1_000_000
 PIECE_BYTES = 1 << 21
 
@@ -95,16 +99,19 @@ def _chunks(batches, bits: int) -> Iterator:
         chunk = (task << 24) | number
         number += 1
         n = np.array([len(s) for s in sets], np.uint32)
-        tokens, owners = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint16), n)
-        order = np.argsort(tokens)
-        tokens, owners = tokens[order], owners[order]
-        buckets = (tokens >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(tokens), np.int64)
-        rest = ((tokens >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype("<u4")
-        keys, at = np.unique(buckets, return_index=True)
-        at = [*at, len(tokens)]
+        short, owners = np.concatenate(sets) >> np.uint64(32 - bits), np.repeat(np.arange(len(sets), dtype=np.uint16), n)
+        order = np.argsort(short)
+        short, owners = short[order], owners[order]
+        first = np.flatnonzero(np.concatenate([[True], short[1:] != short[:-1]])) if len(short) else np.zeros(0, np.int64)
+        many = np.diff(np.append(first, len(short)))
+        inside = np.bincount(owners[np.repeat(many > 1, many)], minlength=len(sets))
+        own = np.where(many > 1, MANY, owners[first]).astype("<u2")
+        keys, at = np.unique((short[first] >> np.uint64(32)).astype(np.int64), return_index=True)
+        rest = (short[first] & np.uint64(0xFFFFFFFF)).astype("<u4")
+        at = [*at, len(first)]
         digests = b"".join(hashlib.md5(s.tobytes()).digest() for s in sets)
-        rows = [(int(k), chunk, rest[a:b].tobytes() + owners[a:b].tobytes()) for k, a, b in zip(keys, at[:-1], at[1:], strict=True)]
-        rows.append((-1 - chunk, chunk, np.array(ids, "<i8").tobytes() + n.astype("<u4").tobytes() + digests))
+        rows = [(int(k), chunk, rest[a:b].tobytes() + own[a:b].tobytes()) for k, a, b in zip(keys, at[:-1], at[1:], strict=True)]
+        rows.append((-1 - chunk, chunk, np.array(ids, "<i8").tobytes() + n.astype("<u4").tobytes() + inside.astype("<u4").tobytes() + digests))
         ids, sets, held = [], [], 0
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["key", "chunk", "payload"])
 
@@ -123,7 +130,7 @@ def _chunks(batches, bits: int) -> Iterator:
 
 
 def _common(f: pd.DataFrame) -> pd.DataFrame:
-    """A bucket: how many of each document's tokens another document has too, packed by chunk. Documents pass through."""
+    """A bucket: how many of each document's tokens another chunk has too, packed by chunk. Documents pass through."""
     if f.key.iloc[0] < 0:
         return f[["chunk", "key", "payload"]].rename(columns={"key": "kind"})
     rest, owner, chunk = [], [], []
@@ -138,6 +145,7 @@ def _common(f: pd.DataFrame) -> pd.DataFrame:
     hit = np.zeros(len(rest), bool)
     hit[order[1:]] |= same
     hit[order[:-1]] |= same
+    hit &= owner != MANY
     key, n = np.unique((chunk[hit].astype(np.int64) << 16) | owner[hit], return_counts=True)
     at = np.searchsorted(key, np.arange(len(f) + 1, dtype=np.int64) << 16)
     rows = [(c, 0, (key[a:b] & 0xFFFF).astype("<u2").tobytes() + n[a:b].astype("<u4").tobytes()) for c, a, b in zip(f.chunk, at[:-1], at[1:], strict=True) if b > a]
@@ -147,13 +155,13 @@ def _common(f: pd.DataFrame) -> pd.DataFrame:
 def _counted(f: pd.DataFrame) -> pd.DataFrame:
     """A chunk: doc_id, n, digest and number of shared tokens of its documents."""
     p = next(p for k, p in zip(f.kind, f.payload, strict=True) if k < 0)
-    m = len(p) // 28
-    shared = np.zeros(m, np.int64)
+    m = len(p) // 32
+    shared = np.frombuffer(p, "<u4", m, 12 * m).astype(np.int64)
     for k, q in zip(f.kind, f.payload, strict=True):
         if k >= 0:
             c = len(q) // 6
             shared[np.frombuffer(q, "<u2", c)] += np.frombuffer(q, "<u4", c, 2 * c)
-    digests = [p[12 * m + 16 * i : 12 * m + 16 * (i + 1)] for i in range(m)]
+    digests = [p[16 * m + 16 * i : 16 * m + 16 * (i + 1)] for i in range(m)]
     return pd.DataFrame({"doc_id": np.frombuffer(p, "<i8", m), "n": np.frombuffer(p, "<u4", m, 8 * m).astype(np.int64), "digest": digests, "shared": shared})
 
 
@@ -232,7 +240,8 @@ def links(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent:
     release(spark)
     able = rows.filter((F.col("n") > 0) & (F.col("shared") >= _least(F.col("n"), percent)))
     firsts = able.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    classes = materialise(able.select("doc_id", "digest").join(firsts, "digest").select("doc_id", "rep").distinct(), "jaccard-classes")
+    # Nothing after the join needs a digest's rows together, so a much-copied text can be split.
+    classes = materialise(able.select("doc_id", "digest").distinct().join(firsts, "digest").select("doc_id", "rep"), "jaccard-classes")
     firsts = materialise(firsts.select(F.col("rep").alias("doc_id"), "digest", "n"), "jaccard-firsts")
 
     # The representatives' sets, and what of them is shared between representatives.
@@ -275,31 +284,39 @@ def links(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent:
 def family_links(families: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     """Links inside families (rep, family), enough for their components. own: rep, n, tokens.
 
-    Members go into blocks of about BLOCK. Each block meets the family's pivots; members linked through
-    them share a label. Then the members outside their family's largest label, in blocks of their own, meet
-    every block, where only members of other labels are looked at.
+    Members go into size classes and blocks of about BLOCK. Each block meets the pivots of its own and the next
+    classes; members linked through them share a label. Then the members outside their family's largest label, in
+    blocks of their own, meet every block of these classes, where only members of other labels are looked at.
     """
-    fam = materialise(families.withColumn("h", F.xxhash64("rep", F.lit(3))), "family-members")
-    many = fam.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
+    # Linked documents differ in size by 100 / percent at most, which is less than one class.
+    step = 1.0001 * math.log(100 / percent) if percent < 100 else 0.0001
+    fam = families.join(own.select("rep", "n"), "rep").withColumn("cls", F.floor(F.log("n") / step).cast("long"))
+    fam = materialise(fam.withColumn("h", F.xxhash64("rep", F.lit(3))), "family-members")
+    many = materialise(fam.groupBy("family", "cls").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")), "family-blocks")
     # The pivots: the members of the lowest hashes. The limit is the feature here: any member is compared below.
     low = F.expr(f"slice(array_sort(collect_list(struct(h, rep))), 1, {PIVOTS})")
-    cut = fam.withColumn("part", F.pmod(F.col("h"), F.lit(1024))).groupBy("family", "part").agg(F.min(F.struct("h", "rep")).alias("m")).select("family", "m.h", "m.rep")
-    pivots = cut.groupBy("family").agg(low.alias("p")).select("family", F.explode(F.transform("p", lambda x: x["rep"])).alias("rep"))
-    placed = fam.join(many, "family").join(own, "rep").select("family", "rep", "n", "tokens", "blocks", F.pmod(F.col("h"), F.col("blocks")).alias("block"))
-    placed = materialise(placed, "family-placed")
-    to_all = lambda q: q.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cut = fam.withColumn("part", F.pmod(F.col("h"), F.lit(1024))).groupBy("family", "cls", "part").agg(F.min(F.struct("h", "rep")).alias("m")).select("family", "cls", "m.h", "m.rep")
+    pivots = cut.groupBy("family", "cls").agg(low.alias("p")).select(F.explode(F.transform("p", lambda x: x["rep"])).alias("rep"))
+    placed = fam.join(many, ["family", "cls"]).withColumn("block", F.pmod(F.col("h"), F.col("blocks"))).select("family", "cls", "block", "rep")
+    placed = materialise(placed.join(own, "rep").select("family", "cls", "block", "rep", "n", "tokens"), "family-placed")
+
+    def to_all(q: DataFrame) -> DataFrame:
+        near = q.withColumn("cls", F.explode(F.array(F.col("cls") - 1, F.col("cls"), F.col("cls") + 1)))
+        return near.join(many, ["family", "cls"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+
     run = lambda x, y: _compare(x, y, percent)
-    keys = ["family", "block"]
+    keys = ["family", "cls", "block"]
     block = placed.withColumn("label", F.col("rep")).select(*keys, "rep", "n", "label", "tokens")
-    asked = to_all(placed.drop("block").join(pivots, ["family", "rep"]).withColumn("label", F.col("rep"))).select(*keys, "rep", "n", "label", "tokens")
+    asked = to_all(placed.drop("block").join(pivots, "rep").withColumn("label", F.col("rep"))).select(*keys, "rep", "n", "label", "tokens")
     fresh = lambda q: q.select(*(F.col(c).alias(c) for c in q.columns))  # noqa: E731  both sides come from one table
     first = materialise(fresh(asked).groupBy(*keys).cogroup(fresh(block).groupBy(*keys)).applyInPandas(run, "a long, b long"), "family-links")
     label = components(first)
     named = placed.join(label, placed["rep"] == label["v"], "left").withColumn("label", F.coalesce("label", "rep")).drop("v")
     sizes = named.groupBy("family", "label").agg(F.count("*").alias("m")).groupBy("family").agg(F.max(F.struct("m", "label")).alias("x")).select("family", F.col("x.label").alias("main"))
     named = materialise(named.join(sizes, "family"), "family-named")
-    asked = named.filter(F.col("label") != F.col("main"))
-    asked = to_all(asked.withColumn("asked", F.pmod(F.xxhash64("rep", F.lit(4)), F.col("blocks"))).drop("block")).select(*keys, "asked", "rep", "n", "label", "tokens")
+    asked = named.filter(F.col("label") != F.col("main")).drop("block").join(many.withColumnRenamed("blocks", "_own"), ["family", "cls"])
+    asked = asked.withColumn("asked", F.concat_ws("-", "cls", F.pmod(F.xxhash64("rep", F.lit(4)), F.col("_own"))))
+    asked = to_all(asked).select(*keys, "asked", "rep", "n", "label", "tokens")
     groups = asked.select(*keys, "asked").distinct()
     block = named.select(*keys, "rep", "n", "label", "tokens").join(groups, keys).select(*keys, "asked", "rep", "n", "label", "tokens")
     keys = [*keys, "asked"]

@@ -7,11 +7,13 @@ an exception phrase does not count. The sum of the found weights per 1,000 chara
 logistic curve.
 
 The lexicon, the exception phrases and the curve are learned from labelled rows, at most about
-`sample_rows` of them, chosen by a hash of doc_id. Near copies share a min-hash and count once, so that
-a much-copied text does not make its words look toxic.
+`sample_rows` of them, chosen by a hash of doc_id and text, equal ones once. Near copies share a min-hash and
+count once, so that a much-copied text does not make its words look toxic. A lexicon word occurs in SUPPORT of
+the toxic rows and MIN_SUPPORT rows at least and has a log-odds weight of MIN_WEIGHT at least; of these the
+LEXICON_WORDS of the largest weights are kept, the size of the lexicon being a parameter of the model.
 
 Defined results: null and empty texts get the curve's value at no match; rows without a label, or with
-a null one, teach nothing; repeated rows are scored each; with no labelled rows the lexicon is empty
+a null one, teach nothing, nor does a doc_id whose label rows disagree; repeated rows are scored each; with no labelled rows the lexicon is empty
 and every score is the same; an empty table gives an empty result.
 """
 
@@ -101,10 +103,18 @@ class Model:
         if not len(found):
             return 0.0
         folded = fold(text)
-        hits, void = [], []
+        hits, void, at, reach = [], [], 0, -1
         for end, (n, w) in found.iter(re.sub("  +", " ", folded) if self.exceptions else folded):
             (void if w is None else hits).append((end - n + 1, end, w))
-        return sum(w for a, b, w in hits if not any(lo <= a and b <= hi for lo, hi, _ in void))
+        hits.sort()
+        void.sort(key=lambda v: v[0])
+        total = 0.0
+        for a, b, w in hits:  # inside a phrase if one that starts no later reaches as far
+            while at < len(void) and void[at][0] <= a:
+                reach = max(reach, void[at][1])
+                at += 1
+            total += w if b > reach else 0.0
+        return total
 
     def __getstate__(self):
         return self.__dict__ | {"_found": None}
@@ -141,7 +151,8 @@ def learn(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", label
     n = rows.count()
     if not n:
         return Model()
-    some = rows.filter(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_rows / n)))
+    some = rows.filter(F.pmod(F.xxhash64("k", "t"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_rows / n)))
+    some = some.withColumn("h", F.xxhash64("t")).dropDuplicates(["k", "h", "y"]).drop("h")
 
     def tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in frames:
@@ -198,5 +209,6 @@ def is_held_out(key: Column) -> Column:
 
 def learn_from_tables(docs: DataFrame, labels: DataFrame, **options) -> Model:
     """Learn from labelled documents outside the held-out fold."""
-    own = labels.filter(~is_held_out(F.col("doc_id"))).select("doc_id", "toxic").dropna().dropDuplicates(["doc_id"])
+    own = labels.filter(~is_held_out(F.col("doc_id"))).select("doc_id", "toxic").dropna()
+    own = own.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_most")).filter(F.col("toxic") == F.col("_most")).drop("_most")
     return learn(docs.select("doc_id", "text").join(own, "doc_id"), **options)

@@ -1,11 +1,13 @@
 """WARC writer with identical-payload revisits, and a salvage reader.
 
 Writing: records go through Spark's text sink, one gzip member per record, so that any Hadoop file
-system can hold the archives. The sink's line separator is a gzip member of zero bytes, which every
-reader passes over.
+system can hold the archives. A row of the sink holds members of FILE_BYTES together, or one larger member, and is
+a file of its own, so a reader's task holds no more than that at once. The sink's line separator is a gzip member of
+zero bytes, which every reader passes over.
 
 Reading: a record is taken only if all its checks hold: gzip checksum and length, version line, headers,
-Content-Length, the closing blank lines, and the block and payload digests. After a failed check the reader searches for
+Content-Length, the closing blank lines, and the block and payload digests (the payload of a block of type
+application/http is what follows its head). After a failed check the reader searches for
 the next valid member (gzip signature) or version line, takes up reading there, and logs the bytes in
 between as a quarantined gap. Plain and gzip records of WARC/1.0 and 1.1 may be mixed.
 
@@ -44,8 +46,7 @@ GZIP = b"\x1f\x8b\x08"
 #: A gzip member that holds nothing; it stands between records.
 EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
 END = b"\r\n\r\n"
-FILE_RECORDS = 2000  # of an archive
-MAX_RECORD = 1 << 30
+FILE_BYTES = 16 << 20  # of an archive, unless one record alone has more
 RECORD = "archive string, offset long, length long, gap boolean, reason string, page_id long, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 
 
@@ -102,7 +103,7 @@ def _parse(raw: bytes, at: int, want_payload: bool, proved: bool = True) -> tupl
     except (KeyError, ValueError):
         return None, at, "bad length or id"
     lo, hi = stop + 4, stop + 4 + n
-    if n < 0 or n > MAX_RECORD or raw[hi : hi + 4] != END:
+    if n < 0 or raw[hi : hi + 4] != END:
         return None, at, "record is cut short or overruns"
     block = raw[lo:hi]
     if heads.get("warc-block-digest", "") not in ("", f"sha1:{base32_sha1(block)}"):
@@ -112,12 +113,53 @@ def _parse(raw: bytes, at: int, want_payload: bool, proved: bool = True) -> tupl
     if not proved and "x-page-id" in heads and heads.get("warc-record-id") != _record_id([x for x in lines if not x.startswith(b"WARC-Record-ID:")]):
         return None, at, "checksum fails and the record id does not prove the headers"
     digest, kind = heads.get("warc-payload-digest", "").removeprefix("sha1:"), heads.get("warc-type", "")
-    if kind == "response" and digest and digest != base32_sha1(block):
+    payload = block
+    if heads.get("content-type", "").partition(";")[0].strip().lower() == "application/http":
+        payload = block.partition(END)[2]
+        size = size if "x-payload-length" in heads else len(payload)
+    if kind == "response" and digest and digest != base32_sha1(payload):
         return None, at, "payload digest differs"
-    found = {"page_id": page, "record_type": kind, "payload_digest": digest, "payload_bytes": size, "refers_to": refers, "payload": block if want_payload else None}
+    found = {"page_id": page, "record_type": kind, "payload_digest": digest, "payload_bytes": size, "refers_to": refers, "payload": payload if want_payload else None}
     return found, hi + 4, ""
 
 
+class _Members:
+    """Inflates the members of one archive. False signatures cost little: the next zero byte, where names in headers
+    end, is looked for once, and a stream that fails is not tried again under another header that leads to it."""
+
+    def __init__(self, raw: bytes):
+        self.raw, self.zero, self.bad = raw, -1, -1
+
+    def _after_zero(self, at: int) -> int:
+        if self.zero < at:
+            self.zero = self.raw.find(b"\0", at)
+            if self.zero < 0:
+                self.zero = len(self.raw)
+        return self.zero + 1
+
+    def data_start(self, at: int) -> int:
+        """Where the deflate stream of the member at `at` starts, beyond the archive if its header does not end."""
+        flags = self.raw[at + 3] if at + 3 < len(self.raw) else 0
+        end = at + 10
+        if flags & 4:
+            end += 2 + int.from_bytes(self.raw[end : end + 2], "little")
+        for _ in range((flags >> 3 & 1) + (flags >> 4 & 1)):  # name and comment
+            end = self._after_zero(end)
+        return end + (flags & 2)
+
+    def __call__(self, at: int) -> tuple[bytes, int, str, bool]:
+        """The member that starts at `at`: (all that inflates, end, reason of failure, whether it is only cut short)."""
+        start = self.data_start(at)
+        if start > len(self.raw):
+            return b"", at, "member's header does not end", False
+        if start == self.bad:
+            return b"", at, "member does not inflate: its stream failed before", False
+        plain, end, reason, cut = _inflate(self.raw, at)
+        if reason and "header" not in reason:
+            self.bad = start
+        return plain, end, reason, cut
+
+
 def _inflate(raw: bytes, at: int) -> tuple[bytes, int, str, bool]:
     """The member that starts at `at`: (all that inflates, end, reason of failure, whether it is only cut short)."""
     z, parts, fed = zlib.decompressobj(31), [], at
@@ -160,6 +202,7 @@ def salvage(raw: bytes, want_payload: bool = False) -> Iterator[dict]:
 
     The gap of a damaged member covers it whole; the records that it still gave lie inside."""
     at, bad_from, why = 0, -1, ""
+    inflate = _Members(raw)
     spent, spent_to, spent_at = b"", 0, 0  # text of a damaged member, which may stand in the archive as it is
 
     def gap(end: int) -> dict:
@@ -168,7 +211,7 @@ def salvage(raw: bytes, want_payload: bool = False) -> Iterator[dict]:
     while at < len(raw):
         found, end, reason, whole = [], at, "no member or version line", False
         if raw[at : at + 3] == GZIP:
-            plain, end, reason, cut = _inflate(raw, at)
+            plain, end, reason, cut = inflate(at)
             whole = not reason
             found, inner = _inside(plain, want_payload, whole or cut)
             reason = reason or inner
@@ -214,14 +257,23 @@ def write(pages: DataFrame, path: str, *, key: str = "page_id", url: str = "url"
     p = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8").alias("payload"))
 
     def members(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
         for f in frames:
             rows = zip(f.page_id, f.url, f.payload, f.sha1, f.refers_to, strict=True)
             whole = lambda x: None if pd.isna(x) else int(x)
-            yield pd.DataFrame({"value": [record(whole(i), u, bytes(b), base64.b32encode(bytes.fromhex(s)).decode(), whole(r)) for i, u, b, s, r in rows]})
+            for i, u, b, s, r in rows:
+                member = record(whole(i), u, bytes(b), base64.b32encode(bytes.fromhex(s)).decode(), whole(r))
+                if held and size + len(member) > FILE_BYTES:
+                    yield pd.DataFrame({"value": [EMPTY_MEMBER.join(held)]})
+                    held, size = [], 0
+                held.append(member)
+                size += len(member)
+        if held:
+            yield pd.DataFrame({"value": [EMPTY_MEMBER.join(held)]})
 
     done = decide(p, min_bytes).select(F.col("page_id").cast("string"), "url", "payload", "sha1", F.col("refers_to").cast("string"))
     binary = done.mapInPandas(members, "value binary").select(F.col("value").cast("string"))
-    binary.write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    binary.write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 1).text(path)
 
 
 def read(spark: SparkSession, path: str, want_payload: bool = False) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import time
 import zlib
 
 from pyspark.sql import functions as F
@@ -77,6 +78,44 @@ def test_salvage_reads_both_versions():
         assert [r["page_id"] for r in warc.salvage(raw) if not r["gap"]] == [0, 1, 2]
 
 
+def http_record(i, body, version=b"WARC/1.0"):
+    """A record as crawlers write it: the block is an HTTP message, the payload digest that of its body."""
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + body
+    heads = [version, b"WARC-Type: response", b"WARC-Record-ID: <urn:x:%d>" % i, b"WARC-Target-URI: http://x/%d" % i, b"Content-Type: application/http; msgtype=response"]
+    heads += [b"WARC-Payload-Digest: sha1:" + warc.base32_sha1(body).encode(), b"Content-Length: %d" % len(block)]
+    return b"\r\n".join(heads) + warc.END + block + warc.END
+
+
+def test_records_of_crawlers():
+    bodies = [b"<p>one</p>", b"", b"a\r\n\r\nb" * 50]
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Length: 4\r\n\r\nx: y\r\n\r\n"
+    plain = info + b"".join(http_record(i, b) for i, b in enumerate(bodies))
+    for raw in (plain, member(plain), member(info) + b"".join(member(http_record(i, b, b"WARC/1.1")) for i, b in enumerate(bodies))):
+        found = list(warc.salvage(raw, True))
+        assert [(r["record_type"], r["payload"]) for r in found] == [("warcinfo", b"x: y"), *(("response", b) for b in bodies)] and not any(r["gap"] for r in found)
+    bad = http_record(0, b"<p>one</p>").replace(b"<p>one", b"<p>two")
+    assert [r["gap"] for r in warc.salvage(bad)] == [True]
+
+
+def test_false_signatures_cost_time_in_proportion():
+    took = []
+    for n in (20_000, 80_000):
+        began = time.process_time()
+        found = list(warc.salvage(warc.GZIP * n + member(http_record(1, b"x"))))
+        took.append(time.process_time() - began)
+        assert [r["gap"] for r in found] == [True, False] and found[0]["length"] == 3 * n
+    assert took[1] < 10 * took[0] + 1
+
+
+def test_archives_are_bounded_by_bytes(spark, monkeypatch, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, "u", "".join(rng.choices("abcdefghijklmnop", k=200_000))) for i in range(200)]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
+    sizes = [p.stat().st_size for p in (tmp_path / "w").glob("*.txt")]
+    assert len(sizes) > 1 and max(sizes) <= warc.FILE_BYTES + len(warc.EMPTY_MEMBER) * 200
+    assert warc.read(spark, str(tmp_path / "w")).filter("NOT gap").count() == 200
+
+
 def test_round_trip_with_nulls_repeats_and_clashing_columns(spark):
     rows = [(1, "u", "a"), (2, None, "a"), (3, "u", None), (4, "u", ""), (5, "u x\r\n", "é\r\n\r\nWARC/1.1\r\n"), (6, "u", "a"), (6, "u", "b")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("sha1", F.lit(1)).withColumn("payload", F.lit("x"))

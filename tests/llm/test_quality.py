@@ -39,5 +39,7 @@ def test_order_is_by_rejection_per_cost(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     order = quality.plan(quality.base(df), 400)
     assert {n for n, _, _ in order} == set(quality.rules()) and [r / c for _, c, r in order] == sorted((r / c for _, c, r in order), reverse=True)
+    cost = {n: c for n, c, _ in order}
+    assert cost["symbols"] < cost["no_letters"]  # arithmetic on figures against a regular expression over the text
     kept = {r.doc_id for r in quality.judge(df).filter("kept").collect()}
     assert kept == {i for i, _ in rows if i >= 500}

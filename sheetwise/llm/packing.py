@@ -9,8 +9,9 @@ fills bins of k again; the at most k - 1 pieces of each class that remain then,
 table bounds, are packed best-fit in one task.
 
 Ids are those of the tokenizer over the whole text, with `end_id` after each document. A chunk between
-ASCII white space is tokenised once and looked up afterwards: the tokenizer drops white space and lets
-no token cross it, so a text's ids are its chunks' ids in order.
+ASCII white space is tokenised once and looked up afterwards: where the tokenizer drops white space and lets
+no token cross it, a text's ids are its chunks' ids in order. A tokenizer for which probes show otherwise
+encodes whole texts.
 
 Defined results: a null or empty text is a document of one id (`end_id`); repeated rows are packed each; a null doc_id stays null;
 an empty table gives no pieces; other columns of the input are ignored.
@@ -38,6 +39,7 @@ CLASSES = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 18, 20, 24, 28
 WASTE = 16  # a piece may leave so small a part of its share unused
 SMALL = 64  # remainders below are not cut further
 CACHE = 250_000  # chunks that a worker remembers
+LONG = 64  # characters of a chunk beyond which it is not remembered
 PIECE = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, ids binary, cls int, pid long, nth long, sequence_id long, offset long"
 
 
@@ -54,47 +56,62 @@ class ChunkTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.seen: dict[str, bytes] = {"": b""}
         self.parts: dict[str, bytes] = {}
+        # Another tokenizer may keep case or let tokens cross runs: then chunks, or whole texts, are encoded as they are.
+        self.by_runs, self.by_chunks = True, True
+        own = self._encode(list(_PROBES))
+        if self(list(_PROBES)) != own:
+            self.by_runs, self.seen, self.parts = False, {"": b""}, {}
+            self.by_chunks = self(list(_PROBES)) == own
 
     def _encode(self, new: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)] if new else []
 
-    def _encode_runs(self, new: list[str]) -> list[bytes]:
+    def _encode_runs(self, new: list[str]) -> None:
         """Runs of lower-case letters are one pre-token each, so the tokenizer's model takes their bytes' characters directly."""
-        model = self.tokenizer.model.tokenize
+        model, parts, pack = self.tokenizer.model.tokenize, self.parts, struct.pack
         odd = [r for r in new if not r.isalpha()]
-        rest = dict(zip(odd, self._encode(odd), strict=True))
-        out = []
+        parts.update(zip(odd, self._encode(odd), strict=True))
         for r in new:
-            if r in rest:
-                out.append(rest[r])
-            else:
+            if r not in parts:
                 ids = [x.id for x in model(r if r.isascii() else "".join(map(_BYTE_CHARS.__getitem__, r.encode())))]
-                out.append(struct.pack(f"<{len(ids)}I", *ids))
-        return out
+                parts[r] = pack(_FORMATS[len(ids)], *ids) if len(ids) < len(_FORMATS) else pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split, plain, whole = [], set(), set()
+        if not self.by_chunks:
+            return self._encode(texts)
         if len(self.seen) > CACHE:
             self.seen = {"": b""}
+        if len(self.parts) > CACHE:
+            self.parts = {}
+        seen, parts = self.seen, self.parts
+        split, plain, whole = [], set(), set()
         for t in texts:
-            simple = _is_latin1(t) and "<|" not in t
+            simple = self.by_runs and _is_latin1(t) and "<|" not in t
             # Lower case is the tokenizer's own step; done here, fewer chunks differ.
             t = t.lower() if simple else t
             chunks = t.split() if simple and not any(map(t.__contains__, _ODD_SPACE)) else t.translate(_TO_SPACE).split(" ")
             split.append(chunks)
-            (plain if simple else whole).update(c for c in chunks if c not in self.seen)
-        if len(self.parts) > CACHE:
-            self.parts.clear()
+            (plain if simple else whole).update(set(chunks).difference(seen))
+        letters = [c for c in plain if c.isalpha()]
+        mixed = {c: _RUN.findall(c) for c in plain if not c.isalpha() and "'" not in c}
         whole.update(c for c in plain if "'" in c)
-        runs = {c: _RUN.findall(c) for c in plain if "'" not in c}
-        new = list({r for rs in runs.values() for r in rs if r not in self.parts})
-        self.parts.update(zip(new, self._encode_runs(new), strict=True))
-        for c, rs in runs.items():
-            self.seen[c] = b"".join([self.parts[r] for r in rs])
-        new = list(whole)
-        self.seen.update(zip(new, self._encode(new), strict=True))
-        find = self.seen.__getitem__
-        return [b"".join(map(find, chunks)) for chunks in split]
+        new = {r for rs in mixed.values() for r in rs}
+        new.update(letters)
+        new = list(new.difference(parts))
+        self._encode_runs(new)
+        for c in letters:
+            seen[c] = parts[c]
+        for c, rs in mixed.items():
+            seen[c] = b"".join([parts[r] for r in rs])
+        rest = list(whole)
+        seen.update(zip(rest, self._encode(rest), strict=True))
+        out = [b"".join(map(seen.__getitem__, chunks)) for chunks in split]
+        # Only short chunks are remembered, so that CACHE bounds bytes as well.
+        for held, added in ((parts, new), (seen, plain), (seen, whole)):
+            for c in added:
+                if len(c) > LONG:
+                    del held[c]
+        return out
 
 
 def _is_latin1(t: str) -> bool:
@@ -108,6 +125,11 @@ def _is_latin1(t: str) -> bool:
 
 
 _RUN = re.compile(r"[^\W\d_]+|[\W\d_]+")
+_FORMATS = [f"<{n}I" for n in range(64)]
+#: Texts whose ids by runs must equal the tokenizer's own if runs are used at all.
+_PROBES = ("The Cat sat, 12 times; on x2y", "ÀÉ ça été-là 4½ µm", "a_b_c (d) ~e~ f.g", "don't stop", "  two  spaces \n\t")
+
+
 def _byte_chars() -> list[str]:
     """The character of each byte in byte-level vocabularies: itself if printable in Latin-1, else the next from 256 on."""
     own = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174}

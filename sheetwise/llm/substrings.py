@@ -46,8 +46,8 @@ GRAM = 20
 CHUNK_ANCHORS = 1_000_000
 CHUNK_DOCS = 60_000
 BUCKET_ANCHORS = 1_000_000
-GROUP_BYTES = 4 << 20  # of run text in a group of shards, about
-SHARD_BYTES = 3 << 19  # of a suffix array
+GROUP_BYTES = 1 << 20  # of text whose runs go to a group of shards, about
+SHARD_BYTES = 3 << 17  # of a suffix array
 HEAVY = 4000  # documents that share an anchor from which on its runs are cut up
 HELD_BYTES = 32 << 20  # of a chunk's runs
 PIECE_BYTES = 1 << 22  # of a long text that is looked at in one go
@@ -76,10 +76,8 @@ def suffix_array(data: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     bits = max(1, int(n).bit_length())
-    padded = np.concatenate([data, np.zeros(h, np.uint8)])
-    key = np.zeros(n, np.uint64)
-    for k in range(h):
-        key = (key << np.uint64(8)) | padded[k : k + n]
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    key = np.ndarray(n, ">u8", padded, 0, (1,)).astype(np.uint64) >> np.uint64(64 - 8 * h)
     sa = _in_order(key, np.arange(n), bits)
     new = np.concatenate([[True], key[sa][1:] != key[sa][:-1]])
     head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
@@ -115,9 +113,7 @@ def common_prefixes(data: np.ndarray, sa: np.ndarray, limit: int, strips: int =
     if n < 2:
         return lcp
     padded = np.concatenate([data, np.zeros(limit + 16, np.uint8)])
-    word = np.zeros(n + limit + 8, np.uint64)
-    for k in range(8):
-        word |= padded[k : k + len(word)].astype(np.uint64) << np.uint64(8 * k)
+    word = np.ndarray(n + limit + 8, "<u8", padded, 0, (1,))
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
     length = -(-n // strips)
@@ -384,20 +380,39 @@ def _positions(at: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(at - (np.cumsum(n) - n), n) + np.arange(n.sum())
 
 
-def _search(hashes: np.ndarray, at: np.ndarray, known: np.ndarray, known_at: np.ndarray, text: np.ndarray, width: int) -> np.ndarray:
-    """For each string its place among the known ones, which are in order of their hashes, else -1: binary search, confirmed by the bytes."""
-    strings = np.lib.stride_tricks.sliding_window_view(text, width)
-    found = np.full(len(hashes), -1)
-    near = np.searchsorted(known, hashes)
-    for lo in range(0, len(hashes), 100_000):
-        todo = np.arange(lo, min(lo + 100_000, len(hashes)))
-        while len(todo):
-            todo = todo[near[todo] < len(known)]
-            todo = todo[known[near[todo]] == hashes[todo]]
-            same = (strings[known_at[near[todo]]] == strings[at[todo]]).all(axis=1)
-            found[todo[same]] = near[todo[same]]
-            todo = todo[~same]
-            near[todo] += 1
+def _words(text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes at each place as one number."""
+    return np.ndarray(len(text) - 7, "<u8", text, 0, (1,))[at]
+
+
+def _equal(text: np.ndarray, a: np.ndarray, b: np.ndarray, width: int) -> np.ndarray:
+    """Whether the strings of `width` bytes at a and b are the same, eight bytes at a time."""
+    if width < 8:
+        return (text[a[:, None] + np.arange(width)] == text[b[:, None] + np.arange(width)]).all(axis=1)
+    same = np.ones(len(a), bool)
+    for k in (*range(0, width - 8, 8), width - 8):
+        same &= _words(text, a + k) == _words(text, b + k)
+    return same
+
+
+ID = np.uint64(28)  # bits of a string's number, below those of its hash
+LOW = (np.uint64(1) << ID) - np.uint64(1)
+
+
+def _search(keys: np.ndarray, at: np.ndarray, known: np.ndarray, example: np.ndarray, text: np.ndarray, width: int) -> np.ndarray:
+    """For each string (key: hash above, place among `at` below, in order) its number among the known ones (hash above,
+    number below, in order), else -1: binary search, confirmed by the bytes."""
+    found = np.full(len(at), -1)
+    near = np.searchsorted(known, keys & ~LOW)
+    todo = np.arange(len(keys))
+    while len(todo):  # once more only for two different strings of one hash
+        todo = todo[near[todo] < len(known)]
+        todo = todo[known[near[todo]] >> ID == keys[todo] >> ID]
+        which, number = (keys[todo] & LOW).astype(np.int64), (known[near[todo]] & LOW).astype(np.int64)
+        same = _equal(text, example[number], at[which], width)
+        found[which[same]] = number[same]
+        todo = todo[~same]
+        near[todo] += 1
     return found
 
 
@@ -410,24 +425,28 @@ def smallest_by_string(text: np.ndarray, starts: np.ndarray, least: np.ndarray,
     while cuts[-1] < len(size):
         lo = cuts[-1]
         cuts.append(max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + SHARD_BYTES, side="right"))))
-    made = []
+    sums = bytehash.prefix(text) if len(cuts) > 2 else None
+    known, numbers, examples, lows, n = np.empty(0, np.uint64), [], [], [], 0
     for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
         base = int(ends[lo] - size[lo])
-        of, smallest, example = _distinct(text[base : ends[hi - 1]], starts[lo:hi], least[lo:hi], width)
-        made.append((of, smallest, example + base))
-    if len(made) < 2:
-        return made[0][1][made[0][0]] if made else np.empty(0, np.int64)
-    sums = bytehash.prefix(text)
-    known, known_at, low = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
-    marks = [bytehash.spans(sums, example, example + width) for _, _, example in made]
-    for (_, smallest, example), h in zip(made, marks, strict=True):
-        where = _search(h, example, known, known_at, text, width)
-        hit = where >= 0
-        low[where[hit]] = np.minimum(low[where[hit]], smallest[hit])
-        all_h = np.concatenate([known, h[~hit]])
-        order = np.argsort(all_h, kind="stable")
-        known, known_at, low = all_h[order], np.concatenate([known_at, example[~hit]])[order], np.concatenate([low, smallest[~hit]])[order]
-    return np.concatenate([low[_search(h, example, known, known_at, text, width)][of] for (of, _, example), h in zip(made, marks, strict=True)])
+        of, smallest, at = _distinct(text[base : ends[hi - 1]], starts[lo:hi], least[lo:hi], width)
+        if sums is None:
+            return smallest[of]
+        at = at + base
+        keys = np.sort(((bytehash.spans(sums, at, at + width) >> ID) << ID) | np.arange(len(at), dtype=np.uint64))
+        number = _search(keys, at, known, np.concatenate(examples) if examples else at[:0], text, width)
+        new = np.flatnonzero(number < 0)
+        number[new] = n + np.arange(len(new))
+        fresh = number[(keys & LOW).astype(np.int64)]
+        known = np.sort(np.concatenate([known, ((keys & ~LOW) | fresh.astype(np.uint64))[fresh >= n]]))
+        n += len(new)
+        examples.append(at[new])
+        lows.append((number, smallest))
+        numbers.append(number[of])
+    low = np.full(n, np.iinfo(np.int64).max)
+    for number, smallest in lows:  # a shard has each of its strings once
+        low[number] = np.minimum(low[number], smallest)
+    return low[np.concatenate(numbers)] if numbers else low
 
 
 def answers(payloads: list[bytes], width: int) -> list[np.ndarray]:
@@ -511,7 +530,7 @@ def covered(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width:
     del packed
     release(spark)
     shared = shared.dropDuplicates(["doc_id", "mark"])  # equal rows of one doc_id share all they have
-    own = join_small(own, materialise(shared.select("doc_id", "mark"), "substr-ids"), ["doc_id", "mark"], "left_semi")
+    own = join_small(own, materialise(shared.select("doc_id"), "substr-ids"), ["doc_id"], "left_semi")
     # In a fixed order: a task that is run again cuts the same chunks.
     own = own.join(shared, ["doc_id", "mark"]).select("doc_id", "mark", "text", "light", "heavy").sortWithinPartitions("doc_id", "mark")
     runs = own.mapInArrow(lambda b: _runs(b, bits, groups, width), "key long, chunk long, payload binary")
@@ -550,10 +569,10 @@ def _with_spans(docs: DataFrame, **options) -> DataFrame:
     per = materialise(intervals.groupBy(*on).agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "substr-spans")
     d = d.withColumn("mark", F.xxhash64("text"))
     d = join_small(d, copies.withColumn("copy", F.lit(True)), on, "left")
-    ids = per.select(*on)
+    ids = per.select("doc_id").distinct()
     if is_small(ids):  # texts that lose nothing need no shuffle
         ids = F.broadcast(ids)
-        found = d.join(ids, on, "left_semi").join(per, on).unionByName(d.join(ids, on, "left_anti"), allowMissingColumns=True)
+        found = d.join(ids, "doc_id", "left_semi").join(per, on, "left").unionByName(d.join(ids, "doc_id", "left_anti"), allowMissingColumns=True)
     else:
         found = d.join(per, on, "left")
     return found.select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), "spans")

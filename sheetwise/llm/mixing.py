@@ -152,13 +152,15 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     rank = lambda *by: F.row_number().over(Window.partitionBy("_key", "_size").orderBy(*by))
     rows = m.docs.filter(F.col("size") > 0).select(name.alias("_key"), F.col("size").alias("_size"), "source_id", "start").withColumn("_nth", rank("source_id", "start"))
     copies = copies.withColumnRenamed("size", "_size").join(rows, ["_size", "source_id", "start"]).select("_key", "_size", "_nth", "_runs")
-    own = docs.withColumn("_key", name).withColumn("_size", F.size(words(F.col("text"))).cast("long")).filter(F.col("_size") > 0)
-    own = own.withColumn("_nth", rank(F.col("source").asc_nulls_last(), F.xxhash64("text")))
+    # The document's own columns travel in one, so that no name of theirs meets one of these.
+    own = docs.select(F.struct(*docs.columns).alias("_row"), name.alias("_key"), F.size(words(F.col("text"))).cast("long").alias("_size")).filter(F.col("_size") > 0)
+    own = own.withColumn("_nth", rank(F.col("_row.source").asc_nulls_last(), F.xxhash64("_row.text")))
     # A word with the white space after it; white space before the first word is dropped.
-    units = F.split(F.col("text"), r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])", -1)
+    text = F.col("_row.text")
+    units = F.split(text, r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])", -1)
     both = own.join(copies, ["_key", "_size", "_nth"])
-    lead = F.when(F.substring("text", 1, 1).isin(*" \t\n\x0b\x0c\r"), 1).otherwise(0)
+    lead = F.when(F.substring(text, 1, 1).isin(*" \t\n\x0b\x0c\r"), 1).otherwise(0)
     cut = lambda u: F.array_join(F.flatten(F.transform("_runs", lambda r: F.slice(u, (r["piece_start"] + 1 + lead).cast("int"), r["piece_len"].cast("int")))), "")
-    text = F.get(F.transform(F.array(units), cut), F.lit(0))  # a let binding: the text is split once, not once a run
-    both = both.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
-    return both.select(*docs.columns)
+    both = both.withColumn("_text", F.get(F.transform(F.array(units), cut), F.lit(0)))  # a let binding: the text is split once, not once a run
+    new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
+    return both.select(*(new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns))

@@ -3,6 +3,7 @@ import random
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
@@ -60,3 +61,24 @@ def test_stages(spark, sf_dir):
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.count() > 100 and "sequence_id" in out.columns
+
+
+def test_odd_tables(spark, sf_dir):
+    """Clashing names, nulls, a very long text, repeated rows and an empty table go through every stage."""
+    long = " ".join(f"w{i % 977} v{i % 1009}" for i in range(60_000))
+    rows = [(None, None, None), (None, "some words without an id " * 3, "s"), (1, "", "s"), (2, long, None), (2, long, None), (3, "a few words here, mail a.b@c.org now", "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for c in ("_toxicity", "_key", "_size", "_nth", "_runs", "_row", "_text", "size", "n", "rep", "spans", "gone", "component_id", "start", "cls"):
+        docs = docs.withColumn(c, F.lit("x"))
+    columns = docs.columns
+    for table, want in ((docs, 5), (docs.limit(0), 0)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            table = stage(spark, table, sf_dir).cache()
+            assert table.columns == columns and {r["_key"] for r in table.collect()} <= {"x"}, name
+            if name == "pii":
+                assert table.count() == want
+        if want:
+            texts = [r.text for r in table.collect() if r.doc_id == 2]
+            assert texts and all(set(t.split()) <= set(long.split()) for t in texts)
+        packed = corpus_pipeline.pack_sequences(spark, table, sf_dir)
+        assert (packed.count() > 0) == bool(want)

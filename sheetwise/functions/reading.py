@@ -10,7 +10,7 @@ from sheetwise.functions import tags
 # Characters that annotations are made of, and letters and digits that are taken for each other.
 ALLOWED = r"""^[A-Z0-9 \-/"'.,()&*#°]+$"""
 IDENTIFIER = r'^[A-Z0-9\-/".]+$'
-CONFUSIONS = {"0": "OD", "O": "0", "D": "0", "I": "1", "1": "I", "8": "B", "B": "8", "4": "A", "A": "4", "5": "S", "S": "5", "2": "Z", "Z": "2"}
+CONFUSIONS = {"I": "1", "1": "I", "O": "0", "0": "OD", "D": "0", "8": "B", "B": "8", "4": "A", "A": "4", "5": "S", "S": "5", "2": "Z", "Z": "2"}
 
 
 def _stripped(text: Column) -> Column:
@@ -29,17 +29,21 @@ def close_gaps(text: Column) -> Column:
     return F.when(joined.rlike(IDENTIFIER), joined).otherwise(text)
 
 
-def _one_substitution(text: Column) -> Column:
-    """All texts that differ from `text` in one confusable character."""
+def _one_more(tried: Column) -> Column:
+    """From (text, last), last being the place changed last, all with one confusable character more changed behind it."""
     table = F.create_map(*(F.lit(x) for k, v in CONFUSIONS.items() for x in (k, v)))
-    places = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
 
-    def at(i):
-        options = F.coalesce(F.try_element_at(table, F.substr(text, i, F.lit(1))), F.lit(""))
-        letters = F.filter(F.split(options, ""), lambda c: c != "")
-        return F.transform(letters, lambda c: F.concat(F.substr(text, F.lit(1), i - 1), c, F.substr(text, i + 1)))
+    def behind(t):
+        text, last = t["text"], t["last"]
+        places = F.when(last < F.length(text), F.sequence(last + 1, F.length(text))).otherwise(F.array().cast("array<int>"))
 
-    return F.flatten(F.transform(places, at))
+        def at(i):
+            options = F.split(F.coalesce(F.try_element_at(table, F.substr(text, i, F.lit(1))), F.lit("")), "")
+            return F.transform(F.filter(options, lambda c: c != ""), lambda c: F.struct(F.concat(F.substr(text, F.lit(1), i - 1), c, F.substr(text, i + 1)).alias("text"), i.alias("last")))
+
+        return F.flatten(F.transform(places, at))
+
+    return F.flatten(F.transform(tried, behind))
 
 
 def repair(reads: DataFrame, text: str = "text", budget: int = 0) -> DataFrame:
@@ -56,9 +60,12 @@ def repair(reads: DataFrame, text: str = "text", budget: int = 0) -> DataFrame:
     out = out.withColumn("how", F.when(good & ~weak, F.when(spaced, "spaces_removed").otherwise("direct")))
     out = out.withColumn("repaired", F.when(F.col("how").isNotNull(), F.col("_closed"))).withColumn("tag", F.when(F.col("how").isNotNull(), F.col("_tag")))
     if budget > 0:
-        tried = _one_substitution(F.col("_closed"))
-        for _ in range(budget - 1):
-            tried = F.array_distinct(F.concat(tried, F.flatten(F.transform(tried, _one_substitution))))
+        level = F.array(F.struct(F.col("_closed").alias("text"), F.lit(0).alias("last")))
+        tried = []
+        for _ in range(budget):  # every place changes once at most, so no text comes from its own detours
+            level = _one_more(level)
+            tried.append(level)
+        tried = F.transform(F.concat(*tried), lambda t: t["text"])
         found = F.filter(F.transform(tried, lambda t: F.struct(t.alias("text"), tags.parse(t).alias("tag"))), lambda s: s["tag"]["kind"] != "unknown")
         out = out.withColumn("_found", F.when(F.col("how").isNull() & ~good & (F.col("_raw") != ""), found))
         one = F.size(F.array_distinct(F.transform("_found", lambda s: s["tag"]["canonical"]))) == 1

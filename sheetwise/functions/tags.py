@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -109,9 +111,23 @@ def line_fields(raw: Column) -> Column:
     return F.when(t.rlike(LINE_NUMBER), F.map_concat(size, known, more))
 
 
+def _compatible() -> tuple[str, str]:
+    """Characters of other forms (full-width, circled, raised) and the printable ASCII character that each stands for."""
+    found = [(chr(c), n) for c in range(0x80, 0x10000) if len(n := unicodedata.normalize("NFKC", chr(c))) == 1 and " " <= n <= "~"]
+    return "".join(a for a, _ in found), "".join(b for _, b in found)
+
+
+COMPATIBLE = _compatible()
+
+
+def plain_forms(text: Column) -> Column:
+    """Compatibility forms of single ASCII characters as these characters."""
+    return F.translate(text, *COMPATIBLE)
+
+
 def subject_tags(text: Column) -> Column:
     """Equipment tags named in a subject, with each train as a tag of its own, in order and once."""
-    t = F.upper(text)
+    t = F.upper(plain_forms(text))
     found = F.regexp_extract_all(t, F.lit(r"\b([A-Z]{1,3}-\d{2,4}\s*(?:[A-Z]\b(?!-\d)(?:\s*(?:AND|/|,|&)\s*[A-Z]\b(?!-\d))*)?)"), F.lit(1))
 
     def expand(m):
@@ -123,7 +139,7 @@ def subject_tags(text: Column) -> Column:
 
 
 def subject_part(text: Column) -> Column:
-    return F.lower(_or_null(F.regexp_extract(text, r"(?i)\((shell|tube|body|jacket)\)", 1)))
+    return F.lower(_or_null(F.regexp_extract(plain_forms(text), r"(?i)\((shell|tube|body|jacket)\)", 1)))
 
 
 def facility_hints(title: Column) -> Column:

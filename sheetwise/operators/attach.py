@@ -6,7 +6,7 @@ text_confidence. Lengths are in units of the module u of the page, given as a nu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetwise.functions import geom, tags
@@ -36,16 +36,35 @@ def _sides(nodes: DataFrame, regions: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def bubble_rows(nodes: DataFrame, regions: DataFrame, cell: float = 32.0) -> DataFrame:
-    """Rows of text inside an instrument, top to bottom, that together make a tag: page, node, tag, canonical, confidence, regions."""
-    n, r = _sides(nodes.filter(F.col("kind") == "instrument"), regions.filter(F.col("text").isNotNull() & (F.col("text") != "")))
+    """Rows of text inside an instrument, top to bottom, that together make a tag: page, node, tag, canonical, confidence, regions.
+
+    Line numbers are no rows. A region inside several instruments goes to the first of them, by id, whose rows make a tag:
+    in rounds, instruments that wait for none before them are judged, and what makes a tag takes its rows."""
+    read = regions.filter(F.col("text").isNotNull() & (F.col("text") != ""))
+    read = read.filter(tags.parse(F.col("text"))["kind"] != "line_number")
+    n, r = _sides(nodes.filter(F.col("kind") == "instrument"), read)
     cx, cy = _box("r").centre
     inside = spatial.grid_join(n, r.withColumn("cx", cx).withColumn("cy", cy), _box("n"), Box(F.col("cx"), F.col("cy"), F.col("cx"), F.col("cy")), ["page"], cell)
-    g = inside.groupBy("page", "node", "node_confidence").agg(F.array_sort(F.collect_list(F.struct("ry0", "region", "text"))).alias("rows"), F.min("text_confidence").alias("read"))
-    texts = F.transform("rows", lambda x: x["text"])
-    g = g.withColumn("dashed", tags.parse(F.array_join(texts, "-"))).withColumn("plain", tags.parse(F.array_join(texts, "")))
-    fits = lambda c: F.col(f"{c}.kind").isin("instrument", "valve")
-    g = g.withColumn("tag", F.when(fits("dashed"), F.col("dashed")).when(fits("plain"), F.col("plain"))).filter("tag is not null")
-    return g.select("page", "node", "tag", F.col("tag.canonical").alias("canonical"), F.least("node_confidence", F.greatest("read", F.lit(0.1))).alias("confidence"), F.transform("rows", lambda x: x["region"]).alias("regions"))
+    waiting = graph.written(inside.select("page", "node", "node_confidence", "region", "ry0", "text", "text_confidence"))
+    done = None
+    while waiting.limit(1).count():
+        first = F.min("node").over(Window.partitionBy("page", "region")) == F.col("node")
+        ready = waiting.withColumn("_first", first).groupBy("page", "node", "node_confidence").agg(
+            F.bool_and("_first").alias("ready"), F.array_sort(F.collect_list(F.struct("ry0", "region", "text"))).alias("rows"), F.min("text_confidence").alias("read")
+        ).filter("ready")
+        texts = F.transform("rows", lambda x: x["text"])
+        g = ready.withColumn("dashed", tags.parse(F.array_join(texts, "-"))).withColumn("plain", tags.parse(F.array_join(texts, "")))
+        fits = lambda c: F.col(f"{c}.kind").isin("instrument", "valve")
+        g = g.withColumn("tag", F.when(fits("dashed"), F.col("dashed")).when(fits("plain"), F.col("plain")))
+        g = graph.written(g.select("page", "node", "tag", F.col("tag.canonical").alias("canonical"), F.least("node_confidence", F.greatest("read", F.lit(0.1))).alias("confidence"), F.transform("rows", lambda x: x["region"]).alias("regions")))
+        made = g.filter("tag is not null")
+        done = made if done is None else done.unionByName(made)
+        rest = waiting.join(g.select("page", "node"), ["page", "node"], "left_anti")
+        waiting = graph.written(rest.join(made.select("page", F.explode("regions").alias("region")), ["page", "region"], "left_anti"))
+    if done is None:
+        kind = tags.parse(F.lit(""))
+        done = waiting.select("page", "node", kind.alias("tag"), F.lit("").alias("canonical"), F.lit(0.0).alias("confidence"), F.array("region").alias("regions"))
+    return done
 
 
 def adjacent(nodes: DataFrame, regions: DataFrame, gate: float, bonus: float, cell: float = 32.0) -> DataFrame:
@@ -67,7 +86,9 @@ def adjacent(nodes: DataFrame, regions: DataFrame, gate: float, bonus: float, ce
 
 
 def by_radius(nodes: DataFrame, regions: DataFrame, reach: float, bias: float, cell: float = 64.0) -> DataFrame:
-    """Unread and unparsed regions to nodes one to one by the distance of centres, read ones `bias` nearer: page, node, region, label."""
+    """Unread and unparsed regions to nodes one to one by the distance of centres, read ones `bias` nearer: page, node, region, label.
+    Regions that parse as a tag take no part, bound or not."""
+    regions = regions.filter(~F.coalesce(tags.parse(F.col("text"))["kind"] != "unknown", F.lit(False)))
     n, r = _sides(nodes, regions)
     nx, ny = _box("n").centre
     rx, ry = _box("r").centre
@@ -108,3 +129,62 @@ def label_edges(edges: DataFrame, labels: DataFrame) -> DataFrame:
     on = e.filter("line_number is null").select("page", "_e", F.explode("line_ids").alias("line")).join(labels, ["page", "line"])
     won = on.groupBy("page", "_e").agg(F.min(F.struct("region", "number")).alias("w")).select("page", "_e", F.col("w.number").alias("_number"))
     return e.join(won, ["page", "_e"], "left").withColumn("line_number", F.coalesce("line_number", "_number")).drop("_e", "_number")
+
+
+#: Gates and bonuses of attachment in modules. Fixed values.
+ATTACH_GAP, LINE_GAP, KIND_BONUS, RADIUS, READ_BIAS = 2.0, 2.0, 0.3, 1.0, 0.3
+
+
+def attach(nodes: DataFrame, regions: DataFrame, lines: DataFrame, edges: DataFrame, u: float, gap: float = ATTACH_GAP, line_gap: float = LINE_GAP, bonus: float = KIND_BONUS, radius: float = RADIUS, bias: float = READ_BIAS) -> dict[str, DataFrame]:
+    """All phases, each without what the ones before have bound: rows inside instruments, tags to the nearest node of
+    their kind, other text by radius, line numbers to conductors and their edges.
+
+    `bound`: page, node, region (the first of its rows), method, label, confidence. `edges`: with line_number. `unbound`:
+    page, region, text, kind, reason of each parsed tag that found no place. `ledger`: one row of counts."""
+    parsed = tags.parse(F.col("text"))
+    known = graph.written(regions.withColumn("_kind", F.coalesce(parsed["kind"], F.lit("unknown"))).withColumn("_canonical", parsed["canonical"]))
+    bubbles = graph.written(bubble_rows(nodes, regions))
+    taken = bubbles.select("page", F.explode("regions").alias("region"))
+    free = lambda n, *got: n.join(got[0], ["page", "node"], "left_anti") if len(got) == 1 else free(n.join(got[0], ["page", "node"], "left_anti"), *got[1:])
+    rest = regions.join(taken, ["page", "region"], "left_anti")
+    near = graph.written(adjacent(free(nodes, bubbles.select("page", "node")), rest, gap * u, bonus * u))
+    rest = rest.join(near.select("page", "region"), ["page", "region"], "left_anti")
+    other = graph.written(by_radius(free(nodes, bubbles.select("page", "node"), near.select("page", "node")), rest, radius * u, bias * u))
+    text = regions.select("page", "region", F.col("text").alias("label"))
+    own = nodes.select("page", "node", F.col("confidence").alias("confidence"))
+    bound = bubbles.select("page", "node", F.get("regions", F.lit(0)).alias("region"), F.lit("bubble_rows").alias("method"), F.col("canonical").alias("label"), "confidence")
+    bound = bound.unionByName(near.join(text, ["page", "region"]).select("page", "node", "region", F.lit("adjacent").alias("method"), "label", "confidence"))
+    bound = bound.unionByName(other.join(own, ["page", "node"]).select("page", "node", "region", F.lit("legacy_radius").alias("method"), "label", "confidence"))
+
+    numbers = known.filter("_kind = 'line_number'")
+    on = graph.written(line_labels(lines, numbers.drop("_kind", "_canonical"), line_gap * u).join(numbers.select("page", "region", F.col("_canonical").alias("number")), ["page", "region"]))
+    labelled = label_edges(edges, on)
+    carried = edges.select("page", F.explode("line_ids").alias("line"), F.col("line_number").isNotNull().alias("_had"))
+    # A label carries an edge if it is the first on one of the edge's lines.
+    ends = edges.filter("line_number is null").withColumn("_e", F.monotonically_increasing_id()).select("page", "_e", F.explode("line_ids").alias("line")).join(on, ["page", "line"])
+    used = ends.groupBy("page", "_e").agg(F.min("region").alias("region")).select("page", "region").distinct().withColumn("_used", F.lit(True))
+    lines_with = carried.groupBy("page", "line").agg(F.lit(True).alias("_edges"))
+    lost = numbers.join(on.select("page", "region", "line"), ["page", "region"], "left").join(used, ["page", "region"], "left").join(lines_with, ["page", "line"], "left").filter("_used is null")
+    reason = F.when(F.col("line").isNull(), f"no conductor within {line_gap:.1f} modules with compatible orientation").when(F.col("_edges"), "conductor already labelled").otherwise("conductor carries no edges")
+    unbound = lost.select("page", "region", "text", F.col("_kind").alias("kind"), reason.alias("reason"))
+    claimed = taken.unionByName(near.select("page", "region"))
+    pool = known.filter(F.col("_kind").isin(*ALLOWED)).join(claimed, ["page", "region"], "left_anti")
+    unbound = unbound.unionByName(pool.select("page", "region", "text", F.col("_kind").alias("kind"), F.lit(f"no compatible node within {gap:.1f} modules").alias("reason")))
+    unbound = graph.written(unbound)
+    counts = (
+        known.filter(F.col("_kind").isin(*ALLOWED, "line_number")).join(taken, ["page", "region"], "left_anti").agg(F.count("*").alias("parsed_regions")), bubbles.agg(F.count("*").alias("composed_bubbles")),
+        bubbles.select("node").unionByName(near.select("node")).agg(F.count("*").alias("bound_nodes")), used.agg(F.count("*").alias("bound_edges")),
+        other.agg(F.count("*").alias("legacy_labels")), unbound.agg(F.count("*").alias("unbound")),
+    )
+    ledger = counts[0].withColumn("_k", F.lit(1))
+    for c in counts[1:]:
+        ledger = ledger.join(c.withColumn("_k", F.lit(1)), "_k")
+    return {"bound": bound, "edges": labelled, "unbound": unbound, "ledger": ledger.drop("_k")}
+
+
+def unbound_warnings(unbound: DataFrame, preview: int = 6) -> DataFrame:
+    """page, warning: how many parsed tags of a page found no place, and the first of them. The preview's length is the feature."""
+    g = unbound.withColumn("_rn", F.row_number().over(Window.partitionBy("page").orderBy("region"))).groupBy("page")
+    g = g.agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("_rn") <= preview, F.struct("region", "text", "reason")))).alias("first"))
+    some = F.array_join(F.transform("first", lambda x: F.concat(x["text"], F.lit(" ("), x["reason"], F.lit(")"))), "; ")
+    return g.select("page", F.concat(F.col("n").cast("string"), F.lit(" convention tags parsed but not bound: "), some, F.when(F.col("n") > preview, ", ...").otherwise("")).alias("warning"))

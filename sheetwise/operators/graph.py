@@ -6,6 +6,7 @@ executor costs one round.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,10 +16,13 @@ from pyspark.sql import functions as F
 _OWN_DIR: list[str] = []
 
 
-def _written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
+    """df as Parquet in the folder that driver and executors share (spark.checkpoint.dir; a local one only for a session in one process)."""
     spark: SparkSession = df.sparkSession
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _OWN_DIR:
             _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="sheetwise-"))
         top = _OWN_DIR[0]
@@ -33,15 +37,15 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     Each round lowers the label of a node, and that of the node it names, to the least label next to it, then jumps
     along that label, until nothing changes: labels only fall, and once none does they are equal along every edge."""
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
-    both = _written(e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
+    both = written(e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("m"))
         step = labels.join(near, labels["node"] == near["a"], "left").select("node", F.col("component").alias("old"), F.least("component", "m").alias("low"))
         own, root = F.struct("node", "low", "old"), F.struct(F.col("old").alias("node"), "low", F.lit(None).cast(labels.schema["component"].dataType).alias("old"))
         step = step.select(F.explode(F.array(own, root)).alias("x")).select("x.*").groupBy("node").agg(F.min("low").alias("low"), F.max("old").alias("old"))
         jump = labels.select(F.col("node").alias("low"), F.col("component").alias("far"))
-        new = _written(step.join(jump, "low", "left").select("node", F.least("low", "far").alias("component"), "old"))
+        new = written(step.join(jump, "low", "left").select("node", F.least("low", "far").alias("component"), "old"))
         labels = new.select("node", "component")
         if not new.filter("component <> old").limit(1).count():
             return labels
@@ -54,11 +58,11 @@ def walk(edges: DataFrame, starts: DataFrame, direction: str = "downstream", max
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b"))
     back = e.select(F.col("b").alias("a"), F.col("a").alias("b"))
     e = e if direction == "downstream" else e.unionAll(back) if direction == "undirected" else back
-    e = e.distinct()
-    seen = frontier = _written(starts.select("node").distinct().withColumn("depth", F.lit(0)))
+    e = written(e.distinct())
+    seen = frontier = written(starts.select("node").distinct().withColumn("depth", F.lit(0)))
     for depth in range(1, max_depth + 1):
         ahead = e.join(frontier.select(F.col("node").alias("a")), "a").select(F.col("b").alias("node")).distinct()
-        frontier = _written(ahead.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = written(ahead.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if not frontier.limit(1).count():
             break
         seen = seen.unionByName(frontier)
@@ -111,7 +115,7 @@ def _in_order(rest: DataFrame, by: list[str], left: str, right: str, order: list
             yield b.select(columns).filter(pa.array(keep, pa.bool_()))
 
     columns = rest.columns
-    return _written(dealt.mapInArrow(take, rest.schema))
+    return written(dealt.mapInArrow(take, rest.schema))
 
 
 def greedy_match(pairs: DataFrame, by: list[str], left: str, right: str, order: list[str], rounds: int = 8) -> DataFrame:
@@ -121,14 +125,14 @@ def greedy_match(pairs: DataFrame, by: list[str], left: str, right: str, order:
     pairs that are first at both ends and removes their ends. What is left after `rounds` of them waits for
     one another, as equal costs do, and is taken in order, group by group."""
     rank = F.struct(*order, left, right)
-    rest = _written(pairs.select(*by, left, right, *order))
+    rest = written(pairs.select(*by, left, right, *order))
     done = None
     for _ in range(rounds):
         best_l = rest.groupBy(*by, left).agg(F.min(rank).alias("_l"))
         best_r = rest.groupBy(*by, right).agg(F.min(rank).alias("_r"))
-        hit = _written(rest.join(best_l, [*by, left]).join(best_r, [*by, right]).filter((rank == F.col("_l")) & (rank == F.col("_r"))).select(*rest.columns))
+        hit = written(rest.join(best_l, [*by, left]).join(best_r, [*by, right]).filter((rank == F.col("_l")) & (rank == F.col("_r"))).select(*rest.columns))
         if not hit.limit(1).count():
             return done if done is not None else rest.limit(0)
         done = hit if done is None else done.unionByName(hit)
-        rest = _written(rest.join(hit.select(*by, left), [*by, left], "left_anti").join(hit.select(*by, right), [*by, right], "left_anti"))
+        rest = written(rest.join(hit.select(*by, left), [*by, left], "left_anti").join(hit.select(*by, right), [*by, right], "left_anti"))
     return done.unionByName(_in_order(rest, by, left, right, order))

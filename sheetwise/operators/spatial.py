@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetwise.functions.geom import Box
+from sheetwise.operators.graph import written
 
 
 def _cells(df: DataFrame, box: Box, cell: float, names: tuple[str, str]) -> DataFrame:
@@ -38,18 +39,26 @@ def grid_join(left: DataFrame, right: DataFrame, left_box: Box, right_box: Box,
 
 def distance_join(left: DataFrame, right: DataFrame, left_at: tuple[Column, Column], right_at: tuple[Column, Column], on: list[str], radius: float, where: Column | None = None) -> DataFrame:
     """Pairs of points with equal `on` at most `radius` apart: each left point is dealt to its own cell, each right
-    point to the cells within reach."""
+    point to the cells within reach, which are four where a cell is twice the radius."""
     (lx, ly), (rx, ry) = left_at, right_at
-    near = F.hypot(lx - rx, ly - ry) <= radius
+    near = (lx - rx) * (lx - rx) + (ly - ry) * (ly - ry) <= float(radius) * float(radius)
     point, square = Box(lx, ly, lx, ly), Box(rx, ry, rx, ry).grown(radius)
-    return grid_join(left, right, point, square, on, max(radius, 1e-9), near if where is None else near & where)
+    return grid_join(left, right, point, square, on, max(2.0 * radius, 1e-9), near if where is None else where & near)
 
 
 def nearest(left: DataFrame, right: DataFrame, left_at, right_at, on: list[str], key: str, other: str, radius: float) -> DataFrame:
-    """For each left row the nearest right row within radius; ties to the smaller id."""
-    pairs = distance_join(left, right, left_at, right_at, on, radius)
-    gap = F.hypot(left_at[0] - right_at[0], left_at[1] - right_at[1])
-    return pairs.groupBy(*on, key).agg(F.min(F.struct(gap.alias("gap"), F.col(other))).alias("_n")).select(*on, key, F.col(f"_n.{other}").alias(other), F.col("_n.gap").alias("gap"))
+    """For each left row the nearest right row within radius; ties to the smaller id.
+
+    Most rows have one much nearer than the radius, so a third of it is searched first, and only rows without a hit there
+    are searched in full."""
+    dx, dy = left_at[0] - right_at[0], left_at[1] - right_at[1]
+
+    def within(rows: DataFrame, reach: float) -> DataFrame:
+        pairs = distance_join(rows, right, left_at, right_at, on, reach).withColumn("_square", dx * dx + dy * dy)
+        return pairs.groupBy(*on, key).agg(F.min(F.struct("_square", F.col(other))).alias("_n")).select(*on, key, F.col(f"_n.{other}").alias(other), F.sqrt("_n._square").alias("gap"))
+
+    first = written(within(left, radius / 3))
+    return first.unionByName(within(left.join(first.select(*on, key), [*on, key], "left_anti"), radius))
 
 
 def vouched(marks: DataFrame, box: Box, key: str, on: list[str], half_x: float, half_y: float, least: int = 2) -> DataFrame:

@@ -218,7 +218,7 @@ def narrow_width(spark, sf):
 @query(f"""
 WITH g AS (SELECT *, lo - lag(hi) OVER (PARTITION BY page ORDER BY lo, hi, id) AS gap FROM {sql("v_intervals")}),
 s AS (SELECT page, count(*) AS pieces, median(gap) AS gap, stddev_pop(gap) AS spread, sum(hi - lo) AS ink, max(hi) AS span, count(gap) AS gaps FROM g GROUP BY page)
-SELECT page, pieces::BIGINT AS pieces, gap::DOUBLE AS gap, CASE WHEN pieces >= 4 AND gap BETWEEN 2.0 AND 35.0 AND (gaps < 3 OR spread / greatest(gap, 1e-9) <= 0.85) AND ink / greatest(span, 1e-9) <= 0.9 THEN 'dashed' ELSE 'solid' END AS style FROM s
+SELECT page, pieces::BIGINT AS pieces, gap::DOUBLE AS gap, CASE WHEN pieces >= 4 AND gaps > 0 AND span > 0 AND gap BETWEEN 2.0 AND 35.0 AND (gaps < 3 OR spread / greatest(gap, 1e-9) <= 0.85) AND ink / span <= 0.9 THEN 'dashed' ELSE 'solid' END AS style FROM s
 """)
 def dash_stats(spark, sf):
     from pyspark.sql import Window

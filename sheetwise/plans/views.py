@@ -22,9 +22,9 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
     "v_tags": ("part", {"id": "p_partkey", "page": "p_partkey % 64", "raw": """CASE p_partkey % 14
         WHEN 0 THEN 'PI-' || CAST(100 + p_partkey % 900 AS STRING) WHEN 1 THEN ' pdi-' || CAST(700 + p_partkey % 40 AS STRING) || 'a'
         WHEN 2 THEN 'DPIT-' || CAST(700 + p_partkey % 40 AS STRING) || '-16' WHEN 3 THEN 'PSV-' || CAST(100 + p_partkey % 90 AS STRING) || 'A'
-        WHEN 4 THEN 'P-' || CAST(700 + p_partkey % 50 AS STRING) WHEN 5 THEN 'F-715 A' WHEN 6 THEN 'MV-' || CAST(700 + p_partkey % 40 AS STRING) || '-0' || CAST(p_partkey % 9 AS STRING)
-        WHEN 7 THEN CAST(1 + p_partkey % 8 AS STRING) || '"-PL-' || CAST(2000 + p_partkey % 100 AS STRING) || '-D' WHEN 8 THEN '1"-DC-3055-D-E-HT-' || CAST(p_partkey % 7 AS STRING)
-        WHEN 9 THEN '[0' || CAST(100 + p_partkey % 300 AS STRING) || 'C]' WHEN 10 THEN 'HOUSTON' WHEN 11 THEN CAST(1000 + p_partkey % 9000 AS STRING)
+        WHEN 4 THEN 'P-' || CAST(700 + p_partkey % 50 AS STRING) WHEN 5 THEN 'T-386 B' WHEN 6 THEN 'MV-' || CAST(700 + p_partkey % 40 AS STRING) || '-0' || CAST(p_partkey % 9 AS STRING)
+        WHEN 7 THEN CAST(1 + p_partkey % 8 AS STRING) || '"-PL-' || CAST(2000 + p_partkey % 100 AS STRING) || '-D' WHEN 8 THEN '1"-KW-4471-B-G-RS-' || CAST(p_partkey % 7 AS STRING)
+        WHEN 9 THEN '[0' || CAST(100 + p_partkey % 300 AS STRING) || 'C]' WHEN 10 THEN 'ROTTERDAM' WHEN 11 THEN CAST(1000 + p_partkey % 9000 AS STRING)
         WHEN 12 THEN 'LSHH-' || CAST(700 + p_partkey % 40 AS STRING) ELSE 'TZT-' || CAST(100 + p_partkey % 400 AS STRING) || '-7' END"""}),
     "v_edges": ("lineitem", {"src": "l_suppkey * 2", "dst": "l_partkey * 2 + 1", "via": "l_linenumber"}),
     "v_chain": ("orders", {"src": "o_orderkey", "dst": "CASE WHEN o_orderkey % 8 = 0 THEN o_orderkey ELSE o_orderkey + 1 END", "via": "o_custkey"}),
@@ -42,10 +42,10 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
         "w": "CAST(l_quantity AS DOUBLE)", "h": "CAST(l_partkey % 40 AS DOUBLE)", "curves": "l_linenumber % 3", "filled": "l_linenumber % 4 = 0", "black": "l_orderkey % 5 > 0",
     }),
     "v_subjects": ("customer", {"id": "c_custkey", "subject": """CASE c_custkey % 6 WHEN 0 THEN 'F-' || CAST(700 + c_custkey % 90 AS STRING) || ' A and B filters'
-        WHEN 1 THEN 'E-' || CAST(700 + c_custkey % 90 AS STRING) || ' (Tube) exchanger' WHEN 2 THEN 'v-745 / AC-' || CAST(700 + c_custkey % 90 AS STRING)
-        WHEN 3 THEN 'P-100 A/B' WHEN 4 THEN 'no tag here' ELSE 'V-' || CAST(100 + c_custkey % 900 AS STRING) || 'A, V-12' END"""}),
+        WHEN 1 THEN 'E-' || CAST(700 + c_custkey % 90 AS STRING) || ' (Tube) exchanger' WHEN 2 THEN 'v-318 / AC-' || CAST(700 + c_custkey % 90 AS STRING)
+        WHEN 3 THEN 'P-264 C/D' WHEN 4 THEN 'no tag here' ELSE 'V-' || CAST(100 + c_custkey % 900 AS STRING) || 'A, V-12' END"""}),
     "v_cells": ("orders", {"id": "o_orderkey", "cell": """CASE o_orderkey % 7 WHEN 0 THEN CAST(o_custkey AS STRING) WHEN 1 THEN '-20 to ' || CAST(o_custkey AS STRING) WHEN 2 THEN CAST(o_custkey AS STRING) || '/' || CAST(o_custkey % 9 AS STRING)
-        WHEN 3 THEN '460/3/60' WHEN 4 THEN ' 12.5 ' WHEN 5 THEN 'n/a' ELSE CAST(o_custkey % 30 AS STRING) || ' THROUGH 7.25' END""",
+        WHEN 3 THEN '690/1/50' WHEN 4 THEN ' 12.5 ' WHEN 5 THEN 'n/a' ELSE CAST(o_custkey % 30 AS STRING) || ' THROUGH 7.25' END""",
         "header": "CASE o_orderkey % 6 WHEN 0 THEN 'Pressure (psig)' WHEN 1 THEN 'Temp (F)' WHEN 2 THEN 'Temperature, C' WHEN 3 THEN 'Flow' WHEN 4 THEN 'Design barg' ELSE 'Equipment' END"}),
 }
 

@@ -143,7 +143,8 @@ def read_findings(spark: SparkSession, path: str, schema: str = "check string, s
 def library(spark: SparkSession, root: str) -> DataFrame:
     """PDF and DOCX files under root: path relative to it, folder, name, size; hidden ones are left out, folders come first."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
-    relative = F.regexp_replace("path", r"^[a-z]+:/+[^ ]*?" + re.escape(root.rstrip("/").rsplit("/", 1)[-1]) + "/", "")
+    top = re.sub(r"^[a-zA-Z][\w+.-]*://?[^/]*(?=/)", "", root.rstrip("/"))  # without scheme and host, which a listing may spell otherwise
+    relative = F.regexp_replace("path", r"^([a-zA-Z][\w+.-]*:/*[^/]*)?" + re.escape(top if top.startswith("/") else "/" + top) + "/", "")
     out = files.select(relative.alias("path"), "length").filter(F.col("path").rlike(r"(?i)\.(pdf|docx)$") & ~F.col("path").rlike(r"(^|/)\."))
     depth = F.size(F.split("path", "/"))
     return out.withColumn("kind", document_kind(F.col("path"))).orderBy((depth == 1).cast("int"), F.lower("path"))

@@ -46,8 +46,9 @@ def attribute_rows(nodes: DataFrame, key: str, extras: str, first_class: tuple[s
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of new, and those of old whose keys new lacks. Of rows of new with equal keys one stays."""
-    w = Window.partitionBy(*keys).orderBy(F.lit(1))
+    """Rows of new, and those of old whose keys new lacks. Of rows of new with equal keys the one
+    whose other columns come first in order stays."""
+    w = Window.partitionBy(*keys).orderBy(*(c for c in new.columns if c not in keys))
     new = new.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
 

@@ -140,7 +140,9 @@ def subject_tags(spark, sf):
     return s.select("id", F.array_join(tags.subject_tags(F.col("subject")), ",").alias("tags"), tags.subject_part(F.col("subject")).alias("part"))
 
 
-@query()
+@query(r"""
+SELECT doc_id, len(list_distinct(list_transform(list_filter(string_split_regex(coalesce(text, ''), '[^\pL\pM\p{Nd}\p{Pc}]+'), lambda w: regexp_full_match(w, '[A-Z][a-zA-Z]{3,}')), lambda w: lower(w))))::BIGINT AS n_hints FROM documents
+""")
 def facility_hints(spark, sf):
     return _table(spark, sf, "documents").select("doc_id", F.size(tags.facility_hints(F.coalesce("text", F.lit("")))).cast("long").alias("n_hints"))
 
@@ -347,12 +349,6 @@ def sheet_detect(spark, sf):
     return p.select("p_partkey", "s.sheet", "s.unit_system")
 
 
-@query(f"SELECT page, greatest(100, ceil(max(x1) * 1.04))::BIGINT AS width, greatest(100, ceil(max(y1) * 1.04))::BIGINT AS height FROM {sql('v_boxes')} GROUP BY page")
-def page_extents(spark, sf):
-    side = lambda c: F.greatest(F.lit(100), F.ceil(F.max(c) * 1.04)).cast("long")
-    return view(spark, sf, "v_boxes").groupBy("page").agg(side("x1").alias("width"), side("y1").alias("height"))
-
-
 # ---- graphs
 
 
@@ -376,12 +372,20 @@ def chain_components(spark, sf):
     return graph.components(view(spark, sf, "v_chain").filter("src <> dst"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {sql("v_edges")}), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+w(node, low) USING KEY (node) AS (SELECT src, min(least(src, dst)) FROM b GROUP BY src UNION SELECT b.dst, min(w.low) FROM w JOIN b ON b.src = w.node JOIN recurring.w AS r ON r.node = b.dst WHERE w.low < r.low GROUP BY b.dst)
+SELECT node, low AS component FROM w
+""")
 def components(spark, sf):
     return graph.components(view(spark, sf, "v_edges"))
 
 
-@query()
+@query(f"""
+WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM {sql("v_edges")}), b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+w(node, depth) AS (SELECT min(src), 0 FROM e UNION SELECT b.dst, w.depth + 1 FROM w JOIN b ON b.src = w.node WHERE w.depth < 12)
+SELECT node, min(depth)::INT AS depth FROM w GROUP BY node
+""")
 def undirected_walk(spark, sf):
     e = view(spark, sf, "v_edges")
     return graph.walk(e, e.agg(F.min("src").alias("node")), "undirected", 12)
@@ -438,24 +442,3 @@ def wilson_by_lang(spark, sf):
 def recall_estimate(spark, sf):
     s = _table(spark, sf, "labels").agg(F.count_if(F.col("quality") == 1).alias("got"), F.count("*").alias("n"))
     return s.select(rules.recall_estimate(F.col("got"), F.col("n")).alias("recall"))
-
-
-# ---- rows for stores
-
-
-@query("""
-SELECT p_partkey, 'brand' AS name, p_brand AS value FROM part WHERE p_brand IS NOT NULL UNION ALL SELECT p_partkey, 'type', p_type FROM part WHERE p_type IS NOT NULL
-UNION ALL SELECT p_partkey, 'size', p_size::VARCHAR FROM part WHERE p_size IS NOT NULL
-""")
-def attribute_rows(spark, sf):
-    p = _table(spark, sf, "part")
-    m = F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("type"), F.col("p_type"), F.lit("size"), F.col("p_size").cast("string"))
-    return p.select("p_partkey", F.explode(F.map_filter(m, lambda k, v: v.isNotNull())).alias("name", "value"))
-
-
-@query("SELECT p_partkey, 'com_' || (p_partkey % 64)::VARCHAR || '_' || substr(sha1((p_partkey % 64)::VARCHAR || '|' || (p_partkey * 53 % 4000)::VARCHAR || '|' || (p_partkey * 29 % 3000)::VARCHAR || '|component'), 1, 12) AS stable_key FROM part")
-def stable_key(spark, sf):
-    p = _table(spark, sf, "part")
-    page, x, y = (c.cast("string") for c in (F.col("p_partkey") % 64, F.col("p_partkey") * 53 % 4000, F.col("p_partkey") * 29 % 3000))
-    digest = F.substring(F.sha1(F.concat_ws("|", page, x, y, F.lit("component")).cast("binary")), 1, 12)
-    return p.select("p_partkey", F.concat_ws("_", F.lit("com"), page, digest).alias("stable_key"))

@@ -47,6 +47,35 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
     "v_cells": ("orders", {"id": "o_orderkey", "cell": """CASE o_orderkey % 7 WHEN 0 THEN CAST(o_custkey AS STRING) WHEN 1 THEN '-20 to ' || CAST(o_custkey AS STRING) WHEN 2 THEN CAST(o_custkey AS STRING) || '/' || CAST(o_custkey % 9 AS STRING)
         WHEN 3 THEN '690/1/50' WHEN 4 THEN ' 12.5 ' WHEN 5 THEN 'n/a' ELSE CAST(o_custkey % 30 AS STRING) || ' THROUGH 7.25' END""",
         "header": "CASE o_orderkey % 6 WHEN 0 THEN 'Pressure (psig)' WHEN 1 THEN 'Temp (F)' WHEN 2 THEN 'Temperature, C' WHEN 3 THEN 'Flow' WHEN 4 THEN 'Design barg' ELSE 'Equipment' END"}),
+    "v_nodes": ("part", {
+        "key": "'n' || CAST(p_partkey AS STRING)", "seq": "p_partkey", "page": "p_partkey % 16", "sheet": "p_partkey % 3",
+        "kind": "CASE p_partkey % 5 WHEN 0 THEN 'instrument' WHEN 1 THEN 'unknown' WHEN 2 THEN NULL ELSE 'component' END",
+        "tag": "CASE WHEN p_partkey % 3 = 0 THEN 'V-' || CAST(100 + p_partkey % 400 AS STRING) WHEN p_partkey % 3 = 1 THEN '' END",
+        "label": "CASE p_partkey % 7 WHEN 0 THEN 'region@1,2' WHEN 1 THEN 'x' WHEN 2 THEN '12-34' WHEN 3 THEN p_brand WHEN 4 THEN '' END",
+        "confidence": "CAST(p_size AS DOUBLE) / 50",
+        "x0": "CAST((p_partkey * p_partkey * 7 + p_partkey * 53) % 1000 AS DOUBLE)", "y0": "CAST((p_partkey * p_partkey * 3 + p_partkey * 29) % 800 AS DOUBLE)",
+        "x1": "CAST((p_partkey * p_partkey * 7 + p_partkey * 53) % 1000 + 8 + p_size % 5 AS DOUBLE)", "y1": "CAST((p_partkey * p_partkey * 3 + p_partkey * 29) % 800 + 8 + p_size % 7 AS DOUBLE)",
+    }),
+    "v_links": ("lineitem", {
+        "src": "'n' || CAST(l_partkey AS STRING)", "dst": "'n' || CAST((l_partkey * 13 + l_linenumber * 7) % 23000 + 1 AS STRING)", "via": "l_orderkey * 10 + l_linenumber",
+        "line_number": "CASE l_linenumber % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE CAST(l_linenumber AS STRING) || '\"-PL-' || CAST(l_suppkey % 9 AS STRING) END",
+    }),
+    "v_annots": ("orders", {
+        "page": "o_custkey % 64", "annot": "o_orderkey", "title": "CASE o_orderkey % 4 WHEN 0 THEN 'AutoCAD SHX Text' WHEN 1 THEN 'free TEXT' WHEN 2 THEN NULL ELSE 'stamp' END",
+        "content": "CASE o_orderkey % 5 WHEN 0 THEN 'said' WHEN 1 THEN ' ' WHEN 2 THEN NULL ELSE '' END",
+        "x0": "CAST(o_orderkey * 37 % 1000 AS DOUBLE)", "y0": "CAST(o_orderkey * 91 % 800 AS DOUBLE)",
+        "x1": "CAST(o_orderkey * 37 % 1000 + o_orderkey % 6 * 25 AS DOUBLE)", "y1": "CAST(o_orderkey * 91 % 800 + 40 AS DOUBLE)",
+    }),
+    "v_marks": ("lineitem", {
+        "page": "l_suppkey % 64", "path": "l_orderkey * 10 + l_linenumber", "x0": "CAST(l_partkey * 17 % 1000 AS DOUBLE)", "y0": "CAST(l_orderkey * 23 % 800 AS DOUBLE)",
+        "x1": "CAST(l_partkey * 17 % 1000 + 1 + l_linenumber AS DOUBLE)", "y1": "CAST(l_orderkey * 23 % 800 + 2 AS DOUBLE)",
+    }),
+    "v_docs": ("customer", {"doc": "c_custkey", "owner": "'u' || CAST(c_custkey % 5 AS STRING)", "site": "c_nationkey", "created": "c_custkey * 37 % 100", "run": "c_custkey"}),
+    "v_run_nodes": ("part", {"run": "p_partkey % 90 + 1", "key": "'k' || CAST(p_partkey AS STRING)", "id": "p_partkey * 31 + 5", "kind": "CASE WHEN p_partkey % 4 = 0 THEN 'valve' ELSE 'pump' END", "tag": "'T-' || CAST(p_size AS STRING)"}),
+    "v_run_edges": ("part", {"run": "p_partkey % 90 + 1", "src": "'k' || CAST(p_partkey AS STRING)", "dst": "'k' || CAST((p_partkey + 90 * (p_size % 9)) AS STRING)", "style": "CASE WHEN p_size % 2 = 0 THEN 'dashed' ELSE 'solid' END"}),
+    "v_run_findings": ("supplier", {"run": "s_suppkey % 120 + 1", "check": "'c' || CAST(s_suppkey AS STRING)", "severity": "CASE s_suppkey % 3 WHEN 0 THEN 'info' WHEN 1 THEN 'critical' ELSE 'medium' END", "status": "'finding'"}),
+    "v_reads": ("part", {"id": "p_partkey", "text": """CASE p_partkey % 9 WHEN 0 THEN ' pi-' || CAST(100 + p_partkey % 900 AS STRING) || ' ' WHEN 1 THEN 'M V-' || CAST(10 + p_partkey % 80 AS STRING) || ' -07' WHEN 2 THEN 'smudge…' WHEN 3 THEN '-'
+        WHEN 4 THEN 'to  tank   ' || CAST(p_size AS STRING) WHEN 5 THEN '2”-NG-' || CAST(p_partkey AS STRING) WHEN 6 THEN '0 31' || CAST(p_partkey % 9 AS STRING) || 'C' WHEN 7 THEN NULL ELSE 'LSHH-' || CAST(100 + p_partkey % 9 AS STRING) END"""}),
 }
 
 

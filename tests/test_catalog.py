@@ -3,7 +3,7 @@ import os
 import duckdb
 import pytest
 
-from sheetwise.plans import catalog
+from sheetwise.plans import catalog, drawings  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

@@ -71,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_search": topk.ORACLE, "op4_warc_salvage": warc.ORACLE, "op10_ngram_jaccard": jaccard.ORACLE, "op6_quality_cascade": quality.ORACLE}
+    return {"op1_topk_search": topk.ORACLE, "op4_warc_salvage": warc.ORACLE, "op10_ngram_jaccard": jaccard.ORACLE, "op6_quality_cascade": quality.ORACLE, "op8_suffix_dedup": substrings.ORACLE}

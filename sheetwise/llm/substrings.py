@@ -593,3 +593,15 @@ def removal(docs: DataFrame, **options) -> DataFrame:
     # As strings, ids with nulls among them do not become floats on their way through pandas.
     d = _with_spans(docs, **options).withColumn("doc_id", F.col("doc_id").cast("string"))
     return d.mapInPandas(rows, RESULT).withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+ORACLE = r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+s AS (SELECT r, doc_id, i, b[i + 1:i + 50] AS w FROM (SELECT r, doc_id, b, unnest(range(0, octet_length(b) - 49)) AS i FROM d WHERE octet_length(b) >= 50)),
+f AS (SELECT w, min(doc_id) AS first FROM s GROUP BY w HAVING count(*) > 1), c AS (SELECT r, i FROM s JOIN f ON f.w = s.w WHERE first < doc_id),
+m AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM c), g AS (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS k FROM m),
+q AS (SELECT r, min(i) AS lo, max(i) + 50 AS hi FROM g GROUP BY r, k), p AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS prev FROM q),
+k AS (SELECT p.r, sum(hi - lo)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans, string_agg(CASE WHEN lo > prev THEN hex(b[prev + 1:lo]) ELSE '' END, '' ORDER BY lo) AS kept, max(hi) AS last FROM p JOIN d ON d.r = p.r GROUP BY p.r)
+SELECT d.doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(CASE WHEN k.r IS NULL THEN b ELSE unhex(kept || CASE WHEN last < octet_length(b) THEN hex(b[last + 1:octet_length(b)]) ELSE '' END) END) AS kept_sha256 FROM d LEFT JOIN k ON k.r = d.r
+"""

@@ -154,3 +154,83 @@ def document_kind(path: Column) -> Column:
     """procedure: Word files and what lies in a top folder `sop`; drawing: other PDF files; else null."""
     low = F.lower(path)
     return F.when(low.endswith(".docx") | (F.split(low, "/")[0] == "sop"), "procedure").when(low.endswith(".pdf"), "drawing")
+
+
+def confine(relative: str, root: str) -> str:
+    """The path of a file under root. A path that is absolute, empty or leads out of root is refused."""
+    parts: list[str] = []
+    for p in relative.replace("\\", "/").split("/"):
+        if p == ".." and not parts:
+            raise ValueError(f"{relative}: leads out of {root}")
+        if p == "..":
+            parts.pop()
+        elif p not in ("", "."):
+            parts.append(p)
+    if not parts or relative.startswith(("/", "\\")) or re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", relative):
+        raise ValueError(f"{relative}: not a file under {root}")
+    return f"{root.rstrip('/')}/{'/'.join(parts)}"
+
+
+def first_file(spark: SparkSession, folders: list[str], suffixes: tuple[str, ...]) -> str | None:
+    """The first file, by name, with one of the suffixes, of the first folder that has any; folders that are missing have none."""
+    from pyspark.errors import AnalysisException
+
+    wanted = "(?i)(" + "|".join(map(re.escape, suffixes)) + ")$"
+    for folder in folders:
+        try:
+            files = spark.read.format("binaryFile").load(folder).select("path")
+            found = files.filter(F.col("path").rlike(wanted)).agg(F.min("path")).first()[0]
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            found = None
+        if found:
+            return found
+    return None
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """Earlier reads (key, text, confidence, backend) of a folder of Parquet, of each key the last by `written`; a missing folder is an empty cache."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        rows = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], "key string, text string, confidence double, backend string")
+        raise
+    last = rows.groupBy("key").agg(F.max(F.struct("written", "text", "confidence", "backend")).alias("x"))
+    return last.select("key", "x.text", "x.confidence", "x.backend")
+
+
+#: Characters that mean something in HTML, and how they are written. Fixed values.
+HTML_NAMES = {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&#x27;"}
+
+
+def escaped(text: Column) -> Column:
+    for c, name in HTML_NAMES.items():  # the ampersand first: the others are written with it
+        text = F.replace(text, F.lit(c), F.lit(name))
+    return text
+
+
+def as_html(parts: DataFrame) -> DataFrame:
+    """path, html: a preview of each procedure (PART): its title, paragraphs in order, then its tables with the first row as header."""
+    cell = lambda tag: F.array_join(F.transform("cells", lambda c: F.concat(F.lit(f"<{tag}>"), escaped(c), F.lit(f"</{tag}>"))), "")
+    row = F.concat(F.lit("<tr>"), F.when(F.col("row") == 0, cell("th")).otherwise(cell("td")), F.lit("</tr>"))
+    one = escaped(F.get("cells", F.lit(0)))
+    line = F.when(F.col("kind") == "title", F.concat(F.lit("<h1>"), one, F.lit("</h1>"))).when(F.col("kind") == "paragraph", F.concat(F.lit("<p>"), one, F.lit("</p>"))).otherwise(row)
+    rank = F.when(F.col("kind") == "title", 0).when(F.col("kind") == "paragraph", 1).otherwise(2)
+    table = F.when(F.col("kind") == "cells", F.col("seq"))
+    blocks = parts.withColumn("_rank", rank).withColumn("_line", line).withColumn("_table", table)
+    # Paragraphs by their number, rows of a table by theirs: the other of the two is the same for all of a block.
+    inner = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "row", "_line"))), lambda s: s["_line"]), "")
+    blocks = blocks.groupBy("path", "_rank", "_table").agg(inner.alias("html"))
+    blocks = blocks.withColumn("html", F.when(F.col("_rank") == 2, F.concat(F.lit("<table>"), "html", F.lit("</table>"))).otherwise(F.col("html")))
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("_rank", F.coalesce("_table", F.lit(0)).alias("t"), "html"))), lambda s: s["html"])
+    return blocks.groupBy("path").agg(F.array_join(whole, "\n").alias("html"))
+
+
+def described(parts: DataFrame) -> DataFrame:
+    """path, title, paragraphs, tables, rows of each procedure."""
+    title = F.max(F.when(F.col("kind") == "title", F.get("cells", F.lit(0))))
+    return parts.groupBy("path").agg(title.alias("title"), F.count_if(F.col("kind") == "paragraph").alias("paragraphs"), F.count_distinct(F.when(F.col("kind") == "cells", F.col("seq"))).alias("tables"), F.count_if(F.col("kind") == "cells").alias("rows"))

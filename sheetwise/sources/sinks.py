@@ -53,6 +53,36 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
+def write_cache(reads: DataFrame, path: str) -> None:
+    """Append reads (key, text, confidence, backend) to a cache, failed ones (empty texts) too, with the time of writing."""
+    reads.select("key", "text", "confidence", "backend", F.current_timestamp().alias("written")).sortWithinPartitions("key").write.mode("append").parquet(path)
+
+
+def store_run(spark: SparkSession, store: str | None, fallback: str, run_id: str, tables: dict[str, DataFrame]) -> str:
+    """Write a run to the store, or, without one or where it refuses, to the fallback; returns a sentence that says which."""
+    why = "no store is set"
+    if store:
+        try:
+            write_run(spark, store, run_id, tables)
+            return f"run {run_id} is in the store {store}"
+        except Exception as e:  # whatever keeps the store from taking it must not lose the run
+            why = f"the store {store} failed: {str(e).splitlines()[0]}"
+    write_run(spark, fallback, run_id, tables)
+    return f"run {run_id} is in {fallback}, as {why}"
+
+
+def score_report(scores: DataFrame, title: str) -> str:
+    """A Markdown table of scores (metric, hits, total, rate, low, high), one row a metric; withheld rates are said to be so.
+    There are as many rows as metrics."""
+    head = [f"# {title}", "", "| metric | rate | interval | counts |", "| --- | --- | --- | --- |"]
+    line = lambda r: f"| {r.metric} | {'withheld' if r.rate is None else f'{r.rate:.1%}'} | {r.low:.1%} to {r.high:.1%} | {r.hits} of {r.total} |"
+    return "\n".join([*head, *map(line, scores.orderBy("metric").collect()), ""])
+
+
+def write_scores(scores: DataFrame, path: str) -> None:
+    scores.orderBy("metric").coalesce(1).write.mode("overwrite").json(path)
+
+
 def write_run(spark: SparkSession, root: str, run_id: str, tables: dict[str, DataFrame]) -> None:
     """Write a run's tables under root/<table>/run_id=<run_id>, and only then name it the current run."""
     for name, df in tables.items():

@@ -80,3 +80,44 @@ def test_library(spark, tmp_path):
         assert (f"{tmp_path.name}/g.pdf", "drawing") in got
     got.remove((f"{tmp_path.name}/g.pdf", "drawing"))
     assert got == [("sop/a.pdf", "procedure"), ("Zed/b.pdf", "drawing"), ("c.docx", "procedure"), ("d.pdf", "drawing")]
+
+
+def test_confined_paths():
+    assert documents.confine("a/./b/../c.pdf", "/data/") == "/data/a/c.pdf"
+    for bad in ("../x", "a/../../x", "/etc/x", "", ".", "a/..", "C:\\x", "file:/x", "\\x"):
+        with pytest.raises(ValueError):
+            documents.confine(bad, "/data")
+
+
+def test_first_file_and_cache(spark, tmp_path):
+    for p in ("b/z.PDF", "b/a.pdf", "b/0.txt", "c/y.docx"):
+        (tmp_path / p).parent.mkdir(exist_ok=True)
+        (tmp_path / p).write_bytes(b"x")
+    find = lambda *names, of: documents.first_file(spark, [str(tmp_path / n) for n in names], of)
+    assert find("none", "b", "c", of=(".pdf",)).endswith("/b/a.pdf") and find("b", "c", of=(".docx",)).endswith("/c/y.docx") and find("none", of=(".pdf",)) is None
+    path = str(tmp_path / "cache")
+    assert documents.read_cache(spark, path).count() == 0
+    schema = "key string, text string, confidence double, backend string"
+    sinks.write_cache(spark.createDataFrame([("a", "", 0.0, "x"), ("b", "V-8", 0.9, "x")], schema), path)
+    sinks.write_cache(spark.createDataFrame([("a", "T-61", 0.8, "y")], schema), path)
+    assert {tuple(r) for r in documents.read_cache(spark, path).collect()} == {("a", "T-61", 0.8, "y"), ("b", "V-8", 0.9, "x")}
+
+
+def test_preview_and_description(spark, tmp_path):
+    docx(tmp_path / "a.docx", ["Open &lt;all&gt; vents", "Then close"], [["A", "B &amp; C"], ["1", "2"]], title="Draining")
+    parts = documents.read_procedure(spark, str(tmp_path / "a.docx"))
+    assert documents.as_html(parts).first().html == "<h1>Draining</h1>\n<p>Open &lt;all&gt; vents</p><p>Then close</p>\n<table><tr><th>A</th><th>B &amp; C</th></tr><tr><td>1</td><td>2</td></tr></table>"
+    assert tuple(documents.described(parts).first())[1:] == ("Draining", 2, 1, 2)
+
+
+def test_scores_and_fallback(spark, tmp_path):
+    s = spark.createDataFrame([("edges", 9, 10, 0.9, 0.6, 0.98), ("tags", 1, 2, None, 0.1, 0.9)], "metric string, hits long, total long, rate double, low double, high double")
+    text = sinks.score_report(s, "Scores")
+    assert "| edges | 90.0% | 60.0% to 98.0% | 9 of 10 |" in text and "withheld" in text
+    sinks.write_scores(s, str(tmp_path / "s"))
+    assert [json.loads(x)["metric"] for x in next((tmp_path / "s").glob("part-*")).read_text().splitlines()] == ["edges", "tags"]
+    t = {"nodes": spark.createDataFrame([(1,)], "k int")}
+    (tmp_path / "blocked").write_text("a file where a folder should be")
+    said = sinks.store_run(spark, str(tmp_path / "blocked"), str(tmp_path / "files"), "r1", t)
+    assert "failed" in said and sinks.read_run(spark, str(tmp_path / "files"), "nodes").count() == 1
+    assert "in the store" in sinks.store_run(spark, str(tmp_path / "ok"), str(tmp_path / "files"), "r2", t) and "no store" in sinks.store_run(spark, None, str(tmp_path / "files"), "r3", t)

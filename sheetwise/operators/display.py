@@ -90,3 +90,11 @@ def page_extents(boxes: DataFrame, least: int = 100, margin: float = 1.04) -> Da
     """page, width, height that hold all boxes with a margin."""
     side = lambda c: F.greatest(F.lit(least), F.ceil(F.max(c) * margin)).cast("long")
     return boxes.groupBy("page").agg(side("x1").alias("width"), side("y1").alias("height"))
+
+
+def search(nodes: DataFrame, query: str, limit: int = 12) -> DataFrame:
+    """The first nodes, in order of insertion, whose tag holds the query or whose kind it is. The limit is the feature; a
+    blank query finds nothing."""
+    q = query.strip().upper()
+    hit = F.upper(F.coalesce("tag", F.lit(""))).contains(q) | (F.upper("kind") == q)
+    return nodes.filter(hit if q else F.lit(False)).orderBy("seq").limit(limit)

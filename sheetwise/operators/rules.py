@@ -136,3 +136,8 @@ def cross_reference(tags: DataFrame, requirements: DataFrame, limits: DataFrame,
     for f in plain:
         out = out.unionByName(f.select(*FINDING, F.lit(None).cast("string").alias("field"), F.lit(None).cast("int").alias("ordinal")))
     return out
+
+
+def notes(recall: float, least: float = 0.5) -> list[str]:
+    """What a reader must know before the findings."""
+    return [f"Only {recall:.0%} of the drawing was read: an item that was not found may still be there."] if recall < least else []

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sheetwise.functions import reading, tags
 from sheetwise.functions.geom import Box
-from sheetwise.operators import ask, assemble, attach, display, extract, metrics, probe, regions, rules, snapshot
+from sheetwise.operators import ask, assemble, attach, classify, display, extract, metrics, probe, regions, rules, snapshot
 from sheetwise.plans.catalog import _MEETS, _PARSED, _table, query, tag_parse
 from sheetwise.plans.views import sql, view
 from sheetwise.sources import sinks
@@ -531,3 +531,31 @@ def line_claims(spark, sf):
     l = _table(spark, sf, "lineitem")  # noqa: E741
     rows = lambda d, k: d.select(F.col("l_suppkey").alias("lo"), F.col("l_partkey").alias("hi"), (F.col("l_linenumber") % k).alias("line"))
     return metrics.line_claims(rows(l, 2), rows(l.filter("l_quantity > 10"), 3))
+
+
+# ---- calibration
+
+
+@query(f"""WITH p AS (SELECT page, path, round_even(w, 2) AS d FROM (SELECT page, path, w / 4 + 5 AS w, h / 4 + 5 AS h, curves FROM {sql("v_paths")}) WHERE curves > 0 AND abs(w - h) <= 0.1 * w AND w > 0.004 * 300 AND w < 0.06 * 300),
+c AS (SELECT page, d, count(*) AS n, min(path) AS f FROM p GROUP BY page, d), r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY n DESC, f) AS rn FROM c) SELECT page, d AS diameter, n::BIGINT AS n FROM r WHERE rn = 1 AND n >= 5""")
+def symbol_diameters(spark, sf):
+    p = view(spark, sf, "v_paths").select("page", "path", (F.col("w") / 4 + 5).alias("w"), (F.col("h") / 4 + 5).alias("h"), "curves", F.lit(300.0).alias("span"))
+    return classify.symbol_diameters(p)
+
+
+@query("""WITH e AS (SELECT p_partkey % 40 AS page, CASE p_size % 3 WHEN 0 THEN 'symbol' WHEN 1 THEN 'text' ELSE 'stroke' END AS name, p_retailprice / 300.0 AS module, p_retailprice / 40.0 AS observable, p_size % 4 > 0 AND p_partkey % 40 > 5 AS trusted FROM part WHERE p_partkey % 40 > 0 OR p_partkey = 40),
+t AS (SELECT page, bool_or(trusted) AS any_, max(CASE WHEN name = 'symbol' THEN observable END) AS symbol FROM e GROUP BY page), k AS (SELECT e.* FROM e JOIN t ON t.page = e.page WHERE trusted OR NOT any_),
+m AS (SELECT page, median(module) AS module, count(*) AS n FROM k GROUP BY page), s AS (SELECT m.*, (SELECT max(abs(k.module - m.module) / m.module) FROM k WHERE k.page = m.page) AS spread FROM m),
+w AS (SELECT s.*, CASE WHEN n = 1 THEN CASE WHEN any_ THEN 0.45 ELSE 0.25 END ELSE greatest(0.0, 1 - 2 * spread) END * CASE WHEN symbol / module < 5 OR symbol / module > 10 THEN 0.6 ELSE 1.0 END AS worth FROM s JOIN t ON t.page = s.page)
+SELECT page, round(module, 6) AS module, n::BIGINT AS estimators, round(spread, 6) AS spread, round(worth, 3)::DOUBLE AS confidence, worth >= 0.35 AS usable FROM w""")
+def page_scales(spark, sf):
+    p = _table(spark, sf, "part").filter("p_partkey % 40 > 0 OR p_partkey = 40")
+    page, size, price = F.col("p_partkey") % 40, F.col("p_size"), F.col("p_retailprice")
+    name = F.when(size % 3 == 0, "symbol").when(size % 3 == 1, "text").otherwise("stroke")
+    e = p.select(page.alias("page"), name.alias("name"), (price / 300.0).alias("module"), (price / 40.0).alias("observable"), ((size % 4 > 0) & (page > 5)).alias("trusted"))
+    return classify.scales(e).withColumn("module", F.round("module", 6)).withColumn("spread", F.round("spread", 6))
+
+
+@query(f"SELECT key, seq FROM {N} WHERE contains(upper(coalesce(tag, '')), 'INSTRUMENT') OR upper(kind) = 'INSTRUMENT' ORDER BY seq LIMIT 12")
+def viewer_search(spark, sf):
+    return display.search(_nodes(spark, sf), " instrument ").select("key", "seq")

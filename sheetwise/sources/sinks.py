@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sheetwise.operators.rules import SEVERITIES, severity_rank
+from sheetwise.operators.rules import SEVERITIES, notes, severity_rank
 
 
 def node_link(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -36,7 +36,9 @@ def report(findings: DataFrame, title: str, recall: float) -> str:
     issues, fine = [r for r in rows if r.status != "verified"], [r for r in rows if r.status == "verified"]
     out = [f"# {title}", "", f"Estimated share of the drawing that was read: {recall:.0%}", "", "Issues: " + (", ".join(f"{counts[s]} {s}" for s in SEVERITIES if s in counts) or "none"), ""]
     out += ["## Verified", "", *head, *map(line, fine), ""] if fine else []
-    return "\n".join(out + ["## Findings", "", *head, *map(line, issues), ""])
+    out += ["## Findings", "", *head, *map(line, issues), ""]
+    said = notes(recall)
+    return "\n".join(out + (["## Notes", "", *(f"- {n}" for n in said), ""] if said else []))
 
 
 def attribute_rows(nodes: DataFrame, key: str, extras: str, first_class: tuple[str, ...] = ()) -> DataFrame:

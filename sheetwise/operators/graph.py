@@ -92,6 +92,23 @@ def component_pairs(members: DataFrame, existing: DataFrame, component: str = "c
     return a.join(b, component).filter("lo < hi").select("lo", "hi").distinct().join(existing, ["lo", "hi"], "left_anti")
 
 
+def first_kept(items: DataFrame, pairs: DataFrame, by: list[str], key: str) -> DataFrame:
+    """The items (by, key) that stay when they are looked at in order and each goes that an earlier kept one is paired with.
+
+    pairs: by, first, second, first being the earlier. In rounds, what no earlier undecided item is paired with stays, and
+    what is paired with that goes; the earliest undecided item is always decided, so this ends with what the order gives."""
+    rest, open_pairs, done = written(items.select(*by, key).distinct()), written(pairs.select(*by, "first", "second").distinct()), None
+    while rest.limit(1).count():
+        free = written(rest.join(open_pairs.select(*by, F.col("second").alias(key)), [*by, key], "left_anti"))
+        done = free if done is None else done.unionByName(free)
+        hit = open_pairs.join(free.withColumnRenamed(key, "first"), [*by, "first"], "left_semi").select(*by, F.col("second").alias(key))
+        rest = written(rest.join(free, [*by, key], "left_anti").join(hit, [*by, key], "left_anti"))
+        for end in ("first", "second"):
+            open_pairs = open_pairs.join(rest.withColumnRenamed(key, end), [*by, end], "left_semi")
+        open_pairs = written(open_pairs)
+    return rest if done is None else done
+
+
 def _in_order(rest: DataFrame, by: list[str], left: str, right: str, order: list[str]) -> DataFrame:
     """The sequential rule itself: each group's pairs stream past in order; only its used ends are held."""
     named = rest.filter(" AND ".join(f"`{c}` IS NOT NULL" for c in [*by, left, right]))

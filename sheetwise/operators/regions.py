@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sheetwise.functions.geom import Box
-from sheetwise.operators import spatial
-from sheetwise.operators.windows import first_by
+from sheetwise.operators import graph, spatial
 
 #: What decides between hints and clusters, a crop's least sides, and plotted stroke widths in millimetres.
 LEAST_HINTS, LEAST_COVERAGE, LEGIBLE, LEAST_CROP = 10, 0.6, 8.0, 4.0
@@ -125,16 +124,20 @@ def largest_clusters(clusters: DataFrame) -> DataFrame:
 
 
 def seed_junctions(ends: DataFrame, radius: float) -> DataFrame:
-    """page, point, seed: ends (page, point, x, y) taken by the nearest seed within radius; seeds are the ends that no
-    smaller end lies within radius of, so a seed does not depend on the order in which ends are looked at."""
-    a = ends.select("page", "point", F.col("x").alias("ax"), F.col("y").alias("ay"))
-    b = ends.select("page", F.col("point").alias("seed"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    at = (F.col("ax"), F.col("ay")), (F.col("bx"), F.col("by"))
-    covered_ = spatial.distance_join(a, b, *at, ["page"], radius, F.col("seed") < F.col("point")).select("page", "point").distinct()
-    seeds = ends.join(covered_, ["page", "point"], "left_anti").select("page", "point")
-    pairs = spatial.distance_join(a, b.join(seeds.withColumnRenamed("point", "seed"), ["page", "seed"], "left_semi"), *at, ["page"], radius)
-    square = (at[0][0] - at[1][0]) * (at[0][0] - at[1][0]) + (at[0][1] - at[1][1]) * (at[0][1] - at[1][1])
-    return first_by(pairs.withColumn("_d", square), ["page", "point"], [F.asc("_d"), F.asc("seed")]).select("page", "point", "seed")
+    """page, point, seed: each end (page, point, x, y, line) and its seed. Ends are looked at by their number: one that no
+    earlier seed lies within radius of is a seed itself, others go to the earliest such seed."""
+    a = ends.select("page", F.col("point").alias("first"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    b = ends.select("page", F.col("point").alias("second"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    pairs = graph.written(spatial.distance_join(a, b, (F.col("ax"), F.col("ay")), (F.col("bx"), F.col("by")), ["page"], radius, F.col("first") < F.col("second")).select("page", "first", "second"))
+    seeds = graph.first_kept(ends, pairs, ["page"], "point")
+    taken = pairs.join(seeds.withColumnRenamed("point", "first"), ["page", "first"], "left_semi").groupBy("page", F.col("second").alias("point")).agg(F.min("first").alias("seed"))
+    return seeds.withColumn("seed", F.col("point")).unionByName(taken)
+
+
+def junctions(ends: DataFrame, radius: float) -> DataFrame:
+    """page, seed, x, y, lines: where ends of two lines or more coincide: the mean of the ends, and the lines, rising."""
+    groups = ends.join(seed_junctions(ends, radius), ["page", "point"]).groupBy("page", "seed")
+    return groups.agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.array_sort(F.collect_set("line")).alias("lines")).filter(F.size("lines") > 1)
 
 
 def shape_clusters(symbols: DataFrame) -> DataFrame:

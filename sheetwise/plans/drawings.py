@@ -331,16 +331,11 @@ def dissolved_lines(spark, sf):
     return extract.dissolved_lines(_chains(spark, sf))
 
 
-_ENDS = "SELECT o_custkey % 8 AS page, o_orderkey AS point, (o_custkey * 17 % 400)::DOUBLE AS x, (o_orderkey * 23 % 300)::DOUBLE AS y FROM orders"
-
-
-@query(f"""WITH e AS ({_ENDS}), s AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.page = e.page AND b.point < e.point AND (b.x - e.x) * (b.x - e.x) + (b.y - e.y) * (b.y - e.y) <= 36)),
-p AS (SELECT e.page, e.point, s.point AS seed, row_number() OVER (PARTITION BY e.page, e.point ORDER BY (s.x - e.x) * (s.x - e.x) + (s.y - e.y) * (s.y - e.y), s.point) AS rn FROM e JOIN s ON s.page = e.page AND (s.x - e.x) * (s.x - e.x) + (s.y - e.y) * (s.y - e.y) <= 36)
-SELECT page, point, seed FROM p WHERE rn = 1""")
-def seed_junctions(spark, sf):
-    o = _table(spark, sf, "orders")
-    ends = o.select((F.col("o_custkey") % 8).alias("page"), F.col("o_orderkey").alias("point"), (F.col("o_custkey") * 17 % 400).cast("double").alias("x"), (F.col("o_orderkey") * 23 % 300).cast("double").alias("y"))
-    return regions.seed_junctions(ends, 6.0)
+@query()
+def junctions(spark, sf):
+    s = view(spark, sf, "v_boxes")
+    ends = s.select("page", F.col("box").alias("point"), F.col("x0").alias("x"), F.col("y0").alias("y"), (F.col("box") % 97).alias("line"))
+    return regions.junctions(ends, 40.0).select("page", "seed", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), F.array_join(F.col("lines").cast("array<string>"), ",").alias("lines"))
 
 
 @query("SELECT p_type AS signature, count(*)::BIGINT AS members, min(p_partkey % 16 * 100000 + p_partkey) AS first_symbol FROM part GROUP BY p_type")
@@ -385,11 +380,11 @@ def promoted_symbols(spark, sf):
 
 
 @query(f"""WITH m AS ({_MEETS}), w AS (SELECT page, seg, box AS source, lead(box) OVER (PARTITION BY page, seg ORDER BY t, box) AS target FROM m)
-SELECT page, source, target, CASE WHEN seg % 3 = 0 THEN 'dashed' ELSE 'solid' END AS style, CASE WHEN seg % 4 = 0 THEN 0.6 ELSE 0.85 END::DOUBLE AS confidence, seg AS line FROM w WHERE target IS NOT NULL AND target <> source""")
+SELECT DISTINCT page, source, target, CASE WHEN seg % 3 = 0 THEN 'dashed' ELSE 'solid' END AS style, CASE WHEN seg % 4 = 0 THEN 0.6 ELSE 0.85 END::DOUBLE AS confidence, seg AS line FROM w WHERE target IS NOT NULL AND target <> source""")
 def conductor_edges(spark, sf):
     lines = _lines(spark, sf)
     e = assemble.port_edges(lines, assemble.touches(lines, _symbols(spark, sf), 1.5))
-    return e.select("page", "source", "target", "style", "confidence", F.get("line_ids", F.lit(0)).alias("line"))
+    return e.select("page", "source", "target", "style", "confidence", F.get("line_ids", F.lit(0)).alias("line")).distinct()
 
 
 @query(f"""SELECT page, coalesce(kind, 'none') AS kind, count(*)::BIGINT AS nodes, count(label)::BIGINT AS labelled, count_if(key NOT IN (SELECT src FROM {L} UNION SELECT dst FROM {L}))::BIGINT AS isolated FROM {N} GROUP BY 1, 2""")
@@ -559,3 +554,105 @@ def page_scales(spark, sf):
 @query(f"SELECT key, seq FROM {N} WHERE contains(upper(coalesce(tag, '')), 'INSTRUMENT') OR upper(kind) = 'INSTRUMENT' ORDER BY seq LIMIT 12")
 def viewer_search(spark, sf):
     return display.search(_nodes(spark, sf), " instrument ").select("key", "seq")
+
+
+# ---- lines, clusters and matches
+
+S = sql("v_segments")
+
+
+def _pipes(spark, sf):
+    s = view(spark, sf, "v_segments").filter("(ex - ax) + (ey - ay) >= 3")
+    segment = F.struct("ax", "ay", F.col("ex").alias("bx"), F.col("ey").alias("by"))
+    return s.select("page", F.col("seg").alias("path"), F.lit(2.5).alias("u"), F.lit("pipe").alias("kind"), F.array(segment).alias("segments"))
+
+
+@query(f"""WITH k AS (SELECT page, seg, CASE WHEN ex > ax THEN 0 ELSE 60 END::BIGINT AS k1, round_even(CASE WHEN ex > ax THEN ay ELSE -ax END / 1.5, 0)::BIGINT AS k2, CASE WHEN ex > ax THEN ax ELSE ay END AS lo, CASE WHEN ex > ax THEN ex ELSE ey END AS hi FROM {S} WHERE (ex - ax) + (ey - ay) >= 3),
+r AS (SELECT *, lo - max(hi) OVER (PARTITION BY page, k1, k2 ORDER BY lo, hi, seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS step FROM k),
+i AS (SELECT *, sum(CASE WHEN step > 2.5 THEN 1 ELSE 0 END) OVER (PARTITION BY page, k1, k2 ORDER BY lo, hi, seg ROWS UNBOUNDED PRECEDING) AS run FROM r)
+SELECT page, k1, k2, run::BIGINT AS run, count(*)::BIGINT AS pieces, sum(hi - lo) AS ink FROM i GROUP BY page, k1, k2, run""")
+def merged_lines(spark, sf):
+    return extract.merge_lines(_pipes(spark, sf)).select("page", "k1", "k2", "run", "pieces", F.round("ink", 4).alias("ink"))
+
+
+@query(f"""WITH k AS (SELECT page, seg, round_even(ay / 1.5, 0)::BIGINT AS k2, ax AS lo, ex AS hi FROM {S} WHERE ex > ax AND ex - ax <= 15), n AS (SELECT *, count(*) OVER (PARTITION BY page, k2) AS n FROM k),
+r AS (SELECT *, lo - lag(hi) OVER (PARTITION BY page, k2 ORDER BY lo, hi, seg) AS step FROM n WHERE n >= 4), i AS (SELECT *, sum(CASE WHEN step > 10 THEN 1 ELSE 0 END) OVER (PARTITION BY page, k2 ORDER BY lo, hi, seg ROWS UNBOUNDED PRECEDING) AS run FROM r),
+g AS (SELECT page, k2, run, count(*) AS pieces, sum(hi - lo) AS ink, min(lo) AS lo, max(hi) AS hi, median(CASE WHEN step > 0 AND step <= 10 THEN step END) AS mid, stddev_pop(CASE WHEN step > 0 AND step <= 10 THEN step END) AS spread, count(CASE WHEN step > 0 AND step <= 10 THEN 1 END) AS gaps FROM i GROUP BY page, k2, run)
+SELECT page, k2, run::BIGINT AS run, pieces::BIGINT AS pieces, ink, lo, hi FROM g WHERE pieces >= 4 AND gaps > 0 AND mid BETWEEN 0.5 AND 8.75 AND (gaps < 3 OR spread / mid <= 0.85) AND ink / (hi - lo) <= 0.9""")
+def dash_chains(spark, sf):
+    s = view(spark, sf, "v_segments").filter("ex > ax").select("page", F.col("seg").alias("line"), F.lit(2.5).alias("u"), "ax", "ay", F.col("ex").alias("bx"), F.col("ey").alias("by"))
+    return extract.chain_dashes(s).select("page", "k2", "run", "pieces", "ink", "lo", "hi")
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT page, seg, ax AS x, ay AS y FROM {S} UNION SELECT page, seg, ex, ey FROM {S}), l AS (SELECT DISTINCT a.page, a.seg AS a, b.seg AS b FROM e a JOIN e b ON a.page = b.page AND a.x = b.x AND a.y = b.y AND a.seg <> b.seg),
+r AS (SELECT DISTINCT page, seg AS v, seg AS u FROM e UNION SELECT r.page, r.v, l.b FROM r JOIN l ON l.page = r.page AND l.a = r.u) SELECT page, v AS line, min(u) AS conductor FROM r GROUP BY page, v""")
+def conductors(spark, sf):
+    return assemble.conductor_groups(_lines(spark, sf).distinct(), 0.8).distinct()
+
+
+_FRAMES = "SELECT o_custkey % 64 AS page, o_orderkey AS path, (o_custkey % 300)::DOUBLE AS x0, (o_orderkey % 200)::DOUBLE AS y0, (o_custkey % 300 + o_orderkey * 7 % 1500)::DOUBLE AS x1, (o_orderkey % 200 + o_custkey * 11 % 900)::DOUBLE AS y1 FROM orders"
+
+
+@query(f"""WITH f AS ({_FRAMES}), b AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY (x1 - x0) * (y1 - y0) DESC, path) AS rn FROM f WHERE x1 - x0 > 120 AND x1 - x0 > 500 AND y1 - y0 > 400)
+SELECT p.page, coalesce(x0 + 12, 0.0) AS x0, coalesce(y0 + 12, 0.0) AS y0, coalesce(x1 - 12, 1000.0) AS x1, coalesce(y1 - 12, 800.0) AS y1 FROM (SELECT DISTINCT page FROM f) p LEFT JOIN b ON b.page = p.page AND rn = 1""")
+def border_boxes(spark, sf):
+    o = _table(spark, sf, "orders")
+    c, k = F.col("o_custkey"), F.col("o_orderkey")
+    p = o.select((c % 64).alias("page"), k.alias("path"), *(v.cast("double").alias(n) for n, v in zip(Box._fields, (c % 300, k % 200, c % 300 + k * 7 % 1500, k % 200 + c * 11 % 900))), F.lit(2.0).alias("u"))
+    pages = p.select("page").distinct().select("page", F.lit(1000.0).alias("width"), F.lit(800.0).alias("height"))
+    return extract.border(p.withColumn("longest", F.col("x1") - F.col("x0")), pages)
+
+
+_SPOTS = "SELECT o_custkey % 16 AS page, o_orderkey AS path, (o_orderkey * 37 % 1000)::DOUBLE AS x0, (o_custkey * 91 % 800)::DOUBLE AS y0, (o_orderkey * 37 % 1000 + 4)::DOUBLE AS x1, (o_custkey * 91 % 800 + 6)::DOUBLE AS y1 FROM orders"
+
+
+def _spots(spark, sf, **more):
+    c, k = F.col("o_custkey"), F.col("o_orderkey")
+    x, y = (k * 37 % 1000).cast("double"), (c * 91 % 800).cast("double")
+    return _table(spark, sf, "orders").select((c % 16).alias("page"), k.alias("path"), x.alias("x0"), y.alias("y0"), (x + 4).alias("x1"), (y + 6).alias("y1"), *(v.alias(n) for n, v in more.items()))
+
+
+def _clustered(where: str) -> str:
+    return f"""WITH RECURSIVE m AS ({_SPOTS}), l AS (SELECT a.page, a.path AS a, b.path AS b FROM m a JOIN m b ON a.page = b.page AND a.path <> b.path AND {where}),
+r AS (SELECT page, path AS v, path AS u FROM m UNION SELECT r.page, r.v, l.b FROM r JOIN l ON l.page = r.page AND l.a = r.u), c AS (SELECT page, v AS path, min(u) AS cluster FROM r GROUP BY page, v)
+SELECT m.page, cluster, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1, count(*)::BIGINT AS marks FROM m JOIN c ON c.page = m.page AND c.path = m.path GROUP BY m.page, cluster"""
+
+
+@query(_clustered("(a.x0 - b.x0) * (a.x0 - b.x0) + (a.y0 - b.y0) * (a.y0 - b.y0) <= 36"))
+def colour_cluster_boxes(spark, sf):
+    return extract.colour_clusters(_spots(spark, sf, black=F.lit(False)), 6.0)
+
+
+@query(_clustered("abs(a.x0 - b.x0) <= 4 + 1 AND abs(a.y0 - b.y0) <= 6 + 1"))
+def composite_symbols(spark, sf):
+    none = F.array().cast("array<struct<ax:double,ay:double,bx:double,by:double>>")
+    c = extract.composites(_spots(spark, sf, black=F.lit(True), kind=F.lit("symbol"), u=F.lit(2.0), segments=none), 1.0)
+    return c.select("page", F.col("symbol").alias("cluster"), *Box._fields, F.size("members").cast("long").alias("marks"))
+
+
+_TRUE = "SELECT p_partkey AS page, 0.0 AS x0, 0.0 AS y0, 10.0 AS x1, 10.0 AS y1, p_size % 11 AS d, p_size FROM part"
+
+
+def _boxes_of_pages(spark, sf):
+    p = _table(spark, sf, "part")
+    d = (F.col("p_size") % 11).cast("double")
+    row = lambda x: p.select(F.col("p_partkey").alias("page"), F.col("p_partkey").alias("id"), *(v.alias(n) for n, v in zip(Box._fields, (x, F.lit(0.0), x + 10, F.lit(10.0)))))
+    return row(F.lit(0.0)), row(d)
+
+
+@query(f"SELECT page, page AS truth, page AS pred FROM ({_TRUE}) WHERE (10 - d) * 10.0 / (200 - (10 - d) * 10.0) >= 0.3 AND d < 10")
+def matched_boxes(spark, sf):
+    return metrics.match_boxes(*_boxes_of_pages(spark, sf))
+
+
+@query(f"SELECT t::DOUBLE AS threshold, count_if((10 - d) * 10.0 / (200 - (10 - d) * 10.0) >= t AND d < 10)::BIGINT AS hits FROM ({_TRUE}), (VALUES (0.1), (0.3), (0.5), (0.7)) v(t) GROUP BY t")
+def swept_matches(spark, sf):
+    return metrics.threshold_sweep(*_boxes_of_pages(spark, sf))
+
+
+@query("SELECT count_if(p_size % 11 <= 6 AND p_size % 4 > 0)::BIGINT AS correct, count(*)::BIGINT AS n_reads, count(*)::BIGINT AS n_labels FROM part")
+def matched_texts(spark, sf):
+    truth, read = _boxes_of_pages(spark, sf)
+    p = _table(spark, sf, "part").select(F.col("p_partkey").alias("page"), "p_size")
+    text = F.concat(F.lit("pi 1"), F.col("page").cast("string"))
+    return metrics.text_scores(truth.withColumn("text", text), read.join(p, "page").withColumn("text", F.when(F.col("p_size") % 4 > 0, F.upper(F.replace(text, F.lit(" "), F.lit("")))).otherwise("x")), 6.0)

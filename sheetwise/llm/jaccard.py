@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sheetwise.llm import bytehash
-from sheetwise.llm.shared import components, join_small, materialise, release
+from sheetwise.llm.shared import components, join_small, materialise, release, trim
 
 SHINGLE = 5
 PERCENT = 80
@@ -49,10 +49,10 @@ RARE = 16
 COMBINE = 128
 BLOCK = 512
 PIVOTS = 8
-CHUNK_TOKENS = 1_000_000
+CHUNK_TOKENS = 500_000
 CHUNK_DOCS = 60_000
 MANY = 0xFFFF  # stands for several owners of one chunk
-BUCKET_TOKENS = 1_000_000
+BUCKET_TOKENS = 500_000
 PIECE_BYTES = 1 << 21
 
 
@@ -127,6 +127,7 @@ def _chunks(batches, bits: int) -> Iterator:
                     yield flush()
     if ids:
         yield flush()
+    trim()
 
 
 def _common(f: pd.DataFrame) -> pd.DataFrame:
@@ -148,6 +149,8 @@ def _common(f: pd.DataFrame) -> pd.DataFrame:
     hit &= owner != MANY
     key, n = np.unique((chunk[hit].astype(np.int64) << 16) | owner[hit], return_counts=True)
     at = np.searchsorted(key, np.arange(len(f) + 1, dtype=np.int64) << 16)
+    del rest, owner, chunk, order, same, hit
+    trim()
     rows = [(c, 0, (key[a:b] & 0xFFFF).astype("<u2").tobytes() + n[a:b].astype("<u4").tobytes()) for c, a, b in zip(f.chunk, at[:-1], at[1:], strict=True) if b > a]
     return pd.DataFrame(rows, columns=["chunk", "kind", "payload"])
 
@@ -184,6 +187,7 @@ def _sets(batches) -> Iterator:
             digests = [hashlib.md5(s.tobytes()).digest() for s in sets]
             tokens = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(digests, pa.binary()), tokens], names=["doc_id", "digest", "tokens"])
+    trim()
 
 
 def _least(n: Column, percent: int) -> Column:

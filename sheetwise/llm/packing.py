@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sheetwise.llm.shared import materialise
+from sheetwise.llm.shared import materialise, trim
 
 CAPACITY = 2048
 #: Documents of a class's bin. Fixed values.
@@ -192,6 +192,7 @@ def _fill(frames: Iterator[pd.DataFrame], path: str, end_id: int, capacity: int,
                         open_bins[k] = []
                     at += n
             yield pd.DataFrame(rows, columns=names)
+    trim()
     yield pd.DataFrame([[*row, nth, None, None] for held in open_bins.values() for nth, row in enumerate(held)], columns=names)
 
 

@@ -41,6 +41,19 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """Give memory that a Python worker has freed back to the system: workers outlive their stage, and the allocators
+    keep what a stage needed at its peak. Without effect where the C library has no such call."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release is not None:
+        release(0)
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text; null gives an empty array."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE, -1), "")

@@ -31,9 +31,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sheetwise.llm.shared import trim
+
 SAMPLE_ROWS = 10_000  # labelled rows to learn from
 LEXICON_WORDS = 500
-SLICE = 128  # texts whose word lists are held at once
+SLICE = 64  # texts whose word lists are held at once
 SUPPORT = 0.03  # of the toxic rows that a lexicon word must occur in
 MIN_SUPPORT = 4
 MIN_WEIGHT = 1.6
@@ -164,6 +166,7 @@ def learn(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", label
                     near.append(_near_key(w))
                     words.append(sorted(set(w) | {f"{a} {b}" for a, b in zip(w, w[1:])}))
                 yield pd.DataFrame({"y": f.y.to_numpy(), "near": near, "w": words})
+        trim()
 
     t = some.mapInPandas(tokens, "y int, near long, w array<string>")
     sizes = t.groupBy("y").agg(F.countDistinct("near").alias("n")).collect()

@@ -45,7 +45,8 @@ def test_stops_before_the_lists_end():
     x = (rng.exponential(size=(4000, 8)) ** 4 * 10).astype(np.int64)
     q = np.zeros((3, 8), np.int64)
     q[[0, 1, 2], [1, 4, 6]] = 5
-    ids, vec, score = topk.threshold_search(np.array([-1, -2, -3]), q, np.arange(4000), x, 10)
+    ids, vec, score = topk.threshold_search(np.array([-1, -2, -3]), q, np.arange(4000), x, 10, met_out=(met := []))
+    assert len(met) == 3 and max(met) < 0.5
     for i, v in zip((-1, -2, -3), q):
         s = x @ v
         want = sorted(range(4000), key=lambda j: (-s[j], j))[:10]

@@ -112,3 +112,28 @@ def test_touches_of_copies(spark, pairs):
     got = assemble.touches(lines, spark.createDataFrame(rows, BOX.format("symbol")), 1.0).collect()
     assert len(got) == len(want) and {(r.line, r.symbol) for r in got} == want
     assert sum(pairs) <= 2 * 5
+
+
+def copied_lines(n, places, seed=4):
+    """Lines among few places; some have two rows, one has no coordinates."""
+    rng = random.Random(seed)
+    at = [(x, y, *rng.choice([(x + 9, y), (x, y + 9)])) for x, y in ((float(rng.randrange(80)), float(rng.randrange(80))) for _ in range(places))]
+    return [(1, i if i % 10 else i // 20, *rng.choice(at)) for i in range(n)] + [(1, n, None, None, None, None)]
+
+
+LINE = "page long, line long, ax double, ay double, bx double, by double"
+
+
+@pytest.mark.parametrize("batch", ["10000", "7"])
+def test_close_keys_of_copies(spark, pairs, batch):
+    rows = copied_lines(300, 12)
+    ends = [(k, p) for _, k, ax, ay, bx, by in rows[:-1] for p in ((ax, ay), (bx, by))]
+    want = {(1, a, b) for a, p in ends for b, q in ends if a < b and (p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2 <= 9}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = [tuple(r) for r in spatial.close_keys(spark.createDataFrame(rows, LINE), ["page"], "line", [("ax", "ay"), ("bx", "by")], 3.0).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == len(want) and set(got) == want
+    assert sum(pairs) < len(want) / 3

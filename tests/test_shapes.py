@@ -45,3 +45,41 @@ def test_conductors_of_odd_lines(spark):
                 group = {k: lo if g == hi and k[0] == p else g for k, g in group.items()}
     got = assemble.conductor_groups(spark.createDataFrame(rows, LINE), 1e-9).collect()
     assert sorted((r.page if r.page is not None else -1, r.line, r.conductor) for r in got) == sorted([(-1, 2, 2), *((*k, g) for k, g in group.items())])
+
+
+def test_close_keys_shuffle_rows_only(spark):
+    """Arrays of keys are paired where they stand: after the rows are dealt to tiles nothing is joined, grouped or dealt again."""
+    rows = spark.createDataFrame([(1, i, float(i % 7), 0.0, float(i % 7), 9.0) for i in range(60)], LINE)
+    plan = spatial.close_keys(rows, ["page"], "line", [("ax", "ay"), ("bx", "by")], 3.0)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("MapInArrow")]
+    assert above.count("Generate explode") == 2
+    assert not any(word in above for word in ("Exchange", "Join", "Aggregate"))
+
+
+def test_close_keys_of_odd_lines(spark, monkeypatch):
+    """Across tiles, in small parts and slices, with several rows of a key, and without some ends."""
+    rows = lines(260, 60) + [(0, 901, INF, 0.0, 1e300, -1e300), (0, 902, INF, 0.0, 1e300, -1e300)]
+    ends = points(rows)
+    for radius in (3.0, 0.0):
+        close = lambda a, b: (a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2 <= radius * radius if max(map(abs, (*a, *b))) < 1e9 else a == b and INF not in a  # noqa: B023, E731
+        want = {(p, a, b) for p, a, q in ends for o, b, r in ends if p == o and a < b and close(q, r)}
+        got = [tuple(r) for r in spatial.close_keys(spark.createDataFrame(rows, LINE), ["page"], "line", [("ax", "ay"), ("bx", "by")], radius).collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_close_lists_in_small_parts(monkeypatch):
+    """Parts and slices of a few keys give each pair once, by the function that a task runs."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(shapes, "PART", 3)
+    monkeypatch.setattr(shapes, "SLICE", 10)
+    monkeypatch.setattr(shapes, "BLOCK", 20)
+    rng = random.Random(2)
+    rows = [(i, float(rng.randrange(5)), 0.0, 0.0, float(rng.randrange(9))) for i in range(120)]
+    sent = pa.table([[0] * 120, *map(list, zip(*rows, strict=True)), [None] * 120, [0] * 120], schema=pa.schema([("page", pa.int64()), ("line", pa.int64()), *((c, pa.float64()) for c in ("ax", "ay", "bx", "by")), ("_more", pa.string()), ("_t", pa.int64())]))
+    got = []
+    for b in shapes.join_tiles(sent.to_batches(max_chunksize=9), ["page"], "line", [("ax", "ay"), ("bx", "by")], 2.0):
+        for r in b.to_pylist():
+            got += [(min(x, y), max(x, y)) for x in r["_a"] for y in r["_b"] if not r["_same"] or x < y]
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and any((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2 <= 4 for p in (a[1:3], a[3:]) for q in (b[1:3], b[3:]))}
+    assert len(got) == len(want) and set(got) == want

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from sheetwise.functions import geom, tags
 from sheetwise.functions.geom import Box
 from sheetwise.operators import graph, spatial
-from sheetwise.operators.windows import first_by
 
 #: Which kinds of node a kind of tag may name, and which it prefers. Fixed values.
 ALLOWED = {
@@ -107,19 +106,28 @@ def by_radius(nodes: DataFrame, regions: DataFrame, reach: float, bias: float, c
 
 def line_labels(lines: DataFrame, regions: DataFrame, gate: float, degrees: float = 20.0, cell: float = 64.0) -> DataFrame:
     """Line numbers to the nearest conductor of their direction; ties to the longer, then the smaller id: page, region, line, distance.
-    lines: page, line, ax, ay, bx, by."""
+    lines: page, line, ax, ay, bx, by.
+
+    Of lines with equal ends only the smallest can win, and regions with one centre and direction have one winner, so both
+    are looked at once; the winner of a place is an aggregate, and no pairs are sorted."""
     t = regions.filter(F.col("text").isNotNull()).filter(tags.parse(F.col("text"))["kind"] == "line_number")
     rx, ry = Box.of().centre
-    r = t.select("page", "region", rx.alias("px"), ry.alias("py"), F.when(F.col("orientation") == "horizontal", 0.0).otherwise(1.5707963267948966).alias("turn"))
-    ends = [F.col(c) for c in ("ax", "ay", "bx", "by")]
+    r = graph.written(t.select("page", "region", rx.alias("px"), ry.alias("py"), F.when(F.col("orientation") == "horizontal", 0.0).otherwise(1.5707963267948966).alias("turn")))
+    places = graph.written(r.select("page", "px", "py", "turn").distinct())
+    coords = ["ax", "ay", "bx", "by"]
+    shapes = lines.groupBy("page", *coords).agg(F.min("line").alias("line"))
+    ends = [F.col(c) for c in coords]
     hull = Box(F.least("ax", "bx"), F.least("ay", "by"), F.greatest("ax", "bx"), F.greatest("ay", "by"))
     off = F.abs(geom.folded_angle(*ends) - F.col("turn"))
     fits = F.least(off, 3.141592653589793 - off) <= F.radians(F.lit(degrees))
     distance = geom.segment_distance(F.col("px"), F.col("py"), *ends)
     near = Box(F.col("px"), F.col("py"), F.col("px"), F.col("py")).grown(gate)
-    pairs = spatial.grid_join(lines.select("page", "line", "ax", "ay", "bx", "by"), r, hull, near, ["page"], cell, fits & (distance <= gate))
-    pairs = pairs.withColumn("distance", distance).withColumn("len", geom.length(*ends))
-    return first_by(pairs, ["page", "region"], [F.asc("distance"), F.desc("len"), F.asc("line")]).select("page", "region", "line", "distance")
+    pairs = spatial.grid_join(shapes, places, hull, near, ["page"], cell, fits & (distance <= gate))
+    order = F.struct(distance.alias("distance"), (-geom.length(*ends)).alias("_longer"), F.col("line").isNull().alias("_nameless"), "line")
+    won = pairs.groupBy("page", "px", "py", "turn").agg(F.min(order).alias("_won"))
+    # A region with several rows takes the best of its places.
+    own = r.join(won, ["page", "px", "py", "turn"]).groupBy("page", "region").agg(F.min("_won").alias("_won"))
+    return own.select("page", "region", F.col("_won.line").alias("line"), F.col("_won.distance").alias("distance"))
 
 
 def label_edges(edges: DataFrame, labels: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import random
 
-from sheetwise.operators import assemble, graph, shapes, spatial
+from sheetwise.operators import assemble, attach, graph, shapes, spatial
 
 LINE = "page long, line long, ax double, ay double, bx double, by double"
 INF, NAN = float("inf"), float("nan")
@@ -83,3 +83,33 @@ def test_close_lists_in_small_parts(monkeypatch):
             got += [(min(x, y), max(x, y)) for x in r["_a"] for y in r["_b"] if not r["_same"] or x < y]
     want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and any((p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2 <= 4 for p in (a[1:3], a[3:]) for q in (b[1:3], b[3:]))}
     assert len(got) == len(want) and set(got) == want
+
+
+def test_line_labels_of_copies(spark, monkeypatch):
+    """Lines with equal ends and regions of one place are looked at once; the smallest line wins, nulls last."""
+    made, join = [], spatial.grid_join
+
+    def counted(*args, **more):
+        out = graph.written(join(*args, **more))
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(spatial, "grid_join", counted)
+    rng = random.Random(8)
+    at = [(x, y, *rng.choice([(x + 30, y), (x, y + 30), (x + 30, y)])) for x, y in ((rng.randrange(60) * 1.0, rng.randrange(60) * 1.0) for _ in range(12))]
+    rows = [(i % 2, 900 - i if i % 50 else None, *rng.choice(at)) for i in range(400)] + [(None, 1, *at[0]), (1, 2, None, 0.0, 1.0, 0.0)]
+    spots = [(rng.randrange(60) * 1.0, rng.randrange(60) * 1.0, rng.choice(["horizontal", "vertical"])) for _ in range(8)]
+    texts = [(i % 2, i if i % 9 else i // 30, '2"-KW-77', x, y, x + 4, y + 2, o) for i in range(90) for x, y, o in [rng.choice(spots)]] + [(0, 700, None, 0.0, 0.0, 60.0, 60.0, "vertical"), (0, 701, '2"-KW-7', None, 0.0, 4.0, 2.0, "vertical")]
+
+    def gap(px, py, ax, ay, bx, by):
+        return (max(ax - px, px - bx, 0) ** 2 + max(ay - py, py - by, 0) ** 2) ** 0.5
+
+    want = {}
+    for p, k, text, x0, y0, x1, y1, o in texts:
+        for q, line, *e in rows:
+            if text and x0 is not None and q == p and None not in e and (e[1] == e[3]) == (o == "horizontal") and (d := gap((x0 + x1) / 2, (y0 + y1) / 2, *e)) <= 8:
+                want[p, k] = min(want.get((p, k), (9e9,)), (d, line is None, line))
+    df = spark.createDataFrame(texts, "page long, region long, text string, x0 double, y0 double, x1 double, y1 double, orientation string")
+    got = attach.line_labels(spark.createDataFrame(rows, LINE), df, 8.0).collect()
+    assert len(got) == len(want) and {(r.page, r.region): (round(r.distance, 9), r.line) for r in got} == {k: (round(d, 9), line) for k, (d, _, line) in want.items()}
+    assert 0 < sum(made) <= 2 * 12 * 8
